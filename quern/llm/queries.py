@@ -6,15 +6,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, fingerprint, secrets, sharding, token_files
+from quern.llm import decontaminate, fingerprint, language, near_dedup, quality, secrets, sharding, token_files, toxicity
+from quern.llm.labelled import fold, sampled
+from quern.llm.store import pick
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Bounds of the samples that models are fitted on: rows of each label, and characters of a text.
+PER_LABEL, MAX_CHARS = 3000, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles here, as the query's contract asks; the operator's own default is five."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, threshold=0.8)
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    learn = fold(F.col("doc_id"), 5) != 0
+    return quality.fit(sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", learn, PER_LABEL, MAX_CHARS))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.scored(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), quality_model(spark, sf_dir))
+    return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = fold(F.col("doc_id"), 4) != 2
+    model = language.fit(sampled(docs, docs, "lang", learn, 400, MAX_CHARS))
+    rows = language.identified(pick(docs, "doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 80 % of the five-word shingles of a benchmark item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +79,39 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_token_files, op7_sharding, op8_secrets, op9_fingerprints)}
-
-ORACLES: dict[str, str] = {}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = fold(F.col("doc_id"), 3) != 1
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(sampled(docs, table(spark, sf_dir, "labels"), "toxic", learn, PER_LABEL, MAX_CHARS))
+    rows = toxicity.scored(pick(docs, "doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_quality, op4_language, op5_decontamination, op6_token_files, op7_sharding, op8_secrets, op9_fingerprints, op10_toxicity)}
+
+#: Words of a text as both queries below cut them, for DuckDB.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, p.n_shingles, q.n_shingles HAVING 100 * count(*) >= 80 * (p.n_shingles + q.n_shingles - count(*))),
+r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c USING (doc_id)""",
+    "op5_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
+t AS (SELECT item_id, least(5, len(w)) AS g, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i+least(5, len(w))-1], ' ')))) AS x FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT g FROM t),
+h AS (SELECT DISTINCT doc_id, g.g, unnest(list_transform(range(1, len(w) - g.g + 2), lambda i: array_to_string(w[i:i+g.g-1], ' '))) AS x FROM d, g),
+n AS (SELECT item_id, count(*) AS item_shingles FROM t GROUP BY item_id)
+SELECT h.doc_id, t.item_id, n.item_shingles, count(*) AS shared, count(*) / n.item_shingles AS containment
+FROM h JOIN t ON h.g = t.g AND h.x = t.x JOIN n ON n.item_id = t.item_id
+GROUP BY h.doc_id, t.item_id, n.item_shingles HAVING count(*) * 100 >= n.item_shingles * 80""",
+}
