@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, fingerprint, language, near_dedup, quality, secrets, sharding, token_files, toxicity
+from quern.llm import decontaminate, fingerprint, language, near_dedup, packing, quality, secrets, sharding, token_files, toxicity
 from quern.llm.labelled import fold, sampled
 from quern.llm.store import pick
 
@@ -24,6 +24,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=4, threshold=0.8)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     learn = fold(F.col("doc_id"), 5) != 0
     return quality.fit(sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", learn, PER_LABEL, MAX_CHARS))
@@ -87,7 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_quality, op4_language, op5_decontamination, op6_token_files, op7_sharding, op8_secrets, op9_fingerprints, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_quality, op4_language, op5_decontamination, op6_token_files, op7_sharding, op8_secrets, op9_fingerprints, op10_toxicity)}
 
 #: Words of a text as both queries below cut them, for DuckDB.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
