@@ -87,7 +87,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = fold(F.col("doc_id"), 3) != 1
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(sampled(docs, table(spark, sf_dir, "labels"), "toxic", learn, PER_LABEL, MAX_CHARS))
+    model = toxicity.fit(sampled(docs, table(spark, sf_dir, "labels"), "toxic", learn, PER_LABEL * 2 // 3, MAX_CHARS))
     rows = toxicity.scored(pick(docs, "doc_id", "text"), model)
     return rows.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

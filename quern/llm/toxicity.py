@@ -75,21 +75,20 @@ class Model:
         return np.bincount(owner, self.row_logits[rows], len(words)) / np.bincount(owner, minlength=len(words))
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse matrix (text, row, weight) whose product with the embeddings is each text's mean word vector."""
-    at, rows, weights = [], [], []
-    for i, text in enumerate(texts):
-        if ws := words_of(text):
-            uniq, n = np.unique(np.array(ws, object), return_counts=True)
-            r, owner = subwords(uniq.tolist())
-            w = (n / n.sum() / np.bincount(owner))[owner]
-            keep, back = np.unique(r, return_inverse=True)
-            at.append(np.full(keep.size, i))
-            rows.append(keep)
-            weights.append(np.bincount(back, w))
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return np.concatenate(at), np.concatenate(rows), np.concatenate(weights).astype(np.float32)
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the rows and weights whose product with the embeddings is its mean word vector."""
+    out = []
+    for text in texts:
+        ws = words_of(text)
+        if not ws:
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+            continue
+        uniq, n = np.unique(np.array(ws, object), return_counts=True)
+        r, owner = subwords(uniq.tolist())
+        w = (n / n.sum() / np.bincount(owner))[owner]
+        keep, back = np.unique(r, return_inverse=True)
+        out.append((keep.astype(np.int32), np.bincount(back, w).astype(np.float32)))
+    return out
 
 
 def fit(sample: Sample, dim: int = 8, epochs: int = 15, batch: int = 256, rate: float = 0.1, ridge: float = 1500.0, seen: int = 3, seed: int = 7) -> Model:
@@ -105,11 +104,15 @@ def fit(sample: Sample, dim: int = 8, epochs: int = 15, batch: int = 256, rate:
     prior = n1 / max(1, n1 + n0)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, prior)
-    at, rows, weights = features(sample.texts)
-    used = np.bincount(rows, minlength=BUCKETS) >= seen
-    keep = used[rows]
-    at, rows, weights = at[keep], rows[keep], weights[keep] * SCALE
-    bounds = np.searchsorted(at, np.arange(len(y) + 1))
+    found = features(sample.texts)
+    times = np.zeros(BUCKETS, np.int64)
+    for r, _ in found:
+        times[r] += 1
+    used = times >= seen
+    found = [(r[used[r]], w[used[r]] * np.float32(SCALE)) for r, w in found]
+    bounds = np.cumsum([0, *(r.size for r, _ in found)])
+    rows, weights = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     rng = np.random.default_rng(seed)
     emb = (rng.normal(0, 0.1, (BUCKETS, dim)) * used[:, None] / SCALE).astype(np.float32)
     soft, bias = rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
