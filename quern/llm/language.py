@@ -94,7 +94,7 @@ def fit(sample: Sample, epochs: int = 4, batch: int = 64, rate: float = 0.01, ma
     p |= {f"f{w}": rng.normal(0, (w * EMBEDDING) ** -0.5, (w * EMBEDDING, FILTERS)) for w in WIDTHS}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    share = (len(y) / len(languages) / np.maximum(1, np.bincount(y, minlength=len(languages))))[y].astype(np.float32)
+    share = (len(y) / max(1, len(languages)) / np.maximum(1, np.bincount(y, minlength=len(languages))))[y].astype(np.float32)
     for _ in range(epochs if len(languages) > 1 else 0):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), batch):
