@@ -24,6 +24,21 @@ def owns(token: Column, kind: Column, name: Column) -> Column:
     return F.when(token == "本法", kind == "法律").otherwise(F.endswith(name, F.substr(token, F.lit(2))))
 
 
+def tails(name: Column) -> Column:
+    """Every ending of a name, itself included."""
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(name, i))).otherwise(F.array().cast("array<string>"))
+
+
+def declared_aliases(articles: DataFrame, laws: DataFrame) -> DataFrame:
+    """(law_id, alias, alias_law): short names that a law's first article gives to another law, if each stands for one only."""
+    pattern = F.lit("([一-鿿]{2,40})[（(]\\s*(?:以下)?(?:簡|逕)?稱(?:為)?\\s*([一-鿿]{2,16})\\s*[）)]")
+    first = articles.where("ord = 0").select("law_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("long"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("short"))).alias("d"))
+    each = first.select("law_id", F.col("d.short").alias("alias"), F.explode(tails(F.col("d.long"))).alias("tail"))
+    found = each.select("law_id", "alias", normalize("tail").alias("name")).join(name_register(laws).withColumnRenamed("law_id", "alias_law"), "name")
+    best = found.groupBy("law_id", "alias").agg(F.max_by("alias_law", F.length("name")).alias("alias_law"), F.count_distinct("alias_law").alias("n"))
+    return best.where("n = 1").select("law_id", "alias", "alias_law")
+
+
 def article_units(articles: DataFrame) -> DataFrame:
     """Paragraphs, items and subitems: law_id, no, unit_id, parent_id, kind, number, start, end."""
     rows = articles.select("law_id", "no", "address", F.explode(units("text")).alias("u"))
@@ -36,7 +51,7 @@ def found_citations(texts: DataFrame, key: str, laws: DataFrame, articles: DataF
     """Citations in ``texts(key, law_id, paragraph, text)`` resolved to existing articles.
 
     ``law_id`` (may be null) is the law that a text belongs to. A citation names its law
-    just before it; 本X is the text's own law; 同X, 該X and 此X the last law of that kind
+    just before it, in full or by a short name that the law's first article declares; 本X is the text's own law; 同X, 該X and 此X the last law of that kind
     named in the paragraph; after 至, 及, 、 and the like it is the law of the one before;
     without a name it is the only law named so far in the paragraph, or the text's own.
     A name that is no known law's leaves what follows without one. Ranges (至) give every
@@ -47,21 +62,22 @@ def found_citations(texts: DataFrame, key: str, laws: DataFrame, articles: DataF
     own = laws.select(F.col("id").alias("law_id"), F.col("kind").alias("own_kind"), normalize("name").alias("own_name"))
     c = c.join(own, "law_id", "left")
     # the register's names end the text before a citation: candidates are its suffixes
-    tails = F.when(F.length("name") > 0, F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i))).otherwise(F.array().cast("array<string>"))
-    ends = c.select(key, "paragraph", "at", F.explode(tails).alias("tail")).join(name_register(laws).withColumnRenamed("law_id", "named_law"), F.col("tail") == F.col("name"))
+    every = c.select(key, "law_id", "paragraph", "at", F.explode(tails(F.col("name"))).alias("tail"))
+    short = every.join(declared_aliases(articles, laws).withColumnRenamed("alias", "tail"), ["law_id", "tail"]).groupBy(key, "paragraph", "at").agg(F.max_by("alias_law", F.length("tail")).alias("alias_law"))
+    ends = every.join(name_register(laws).withColumnRenamed("law_id", "named_law"), F.col("tail") == F.col("name"))
     named = ends.groupBy(key, "paragraph", "at").agg(F.max_by("named_law", F.length("tail")).alias("named_law"), F.max_by("tail", F.length("tail")).alias("tail"))
-    c = c.join(named, [key, "paragraph", "at"], "left")
+    c = c.join(named, [key, "paragraph", "at"], "left").join(short, [key, "paragraph", "at"], "left")
     token = F.regexp_extract("name", "([本同該此][^本同該此]{1,6})$", 1)
     self_ref = F.startswith(token, F.lit("本"))
     own_law = F.when(self_ref & owns(token, F.col("own_kind"), F.col("own_name")), F.col("law_id"))
     # groups of joined citations share the law of their first
     order = Window.partitionBy(key, "paragraph").orderBy("start")
     c = c.withColumn("group", F.sum(F.when(F.col("joined") == "", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    head = c.where("joined = ''").withColumn("token", token).withColumn("direct", F.coalesce("named_law", own_law))
+    head = c.where("joined = ''").withColumn("token", token).withColumn("direct", F.coalesce("alias_law", "named_law", own_law))
     kinds = laws.select(F.col("id").alias("direct"), kind_of(clean_name(normalize("name"))).alias("direct_kind"))
     head = head.join(kinds, "direct", "left")
     before = Window.partitionBy(key, "paragraph").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    head = head.withColumn("seen", F.collect_list(F.when(F.col("named_law").isNotNull(), F.struct("named_law", "direct_kind"))).over(before))  # of one paragraph
+    head = head.withColumn("seen", F.collect_list(F.when(F.coalesce("alias_law", "named_law").isNotNull(), F.struct(F.coalesce("alias_law", "named_law").alias("named_law"), "direct_kind"))).over(before))  # of one paragraph
     back = F.filter("seen", lambda s: s["direct_kind"] == F.substr(F.col("token"), F.lit(2)))
     same = F.when(F.col("token").rlike("^[同該此]"), F.get(F.reverse(F.transform(back, lambda s: s["named_law"])), F.lit(0)))
     unknown = (F.col("name") != "") & F.col("direct").isNull() & same.isNull()
@@ -69,7 +85,7 @@ def found_citations(texts: DataFrame, key: str, laws: DataFrame, articles: DataF
     distinct = F.array_distinct(F.transform("seen", lambda s: s["named_law"]))
     bare = F.when((F.col("name") == "") & ~poisoned, F.when(F.size(distinct) == 1, distinct[0]).when(F.size(distinct) == 0, F.col("law_id")))
     head = head.withColumn("target_law", F.coalesce("direct", same, bare)).withColumn(
-        "resolution", F.when(F.col("named_law").isNotNull(), "named").when(F.col("direct").isNotNull(), "self").when(same.isNotNull() | (F.size(distinct) == 1), "paragraph").otherwise("source")
+        "resolution", F.when(F.col("alias_law").isNotNull(), "alias").when(F.col("named_law").isNotNull(), "named").when(F.col("direct").isNotNull(), "self").when(same.isNotNull() | (F.size(distinct) == 1), "paragraph").otherwise("source")
     )
     head = head.select(key, "paragraph", "group", "target_law", "resolution", F.col("unit").alias("head_unit"))
     rows = c.join(head, [key, "paragraph", "group"]).where(F.col("target_law").isNotNull() & (F.col("unit") == F.col("head_unit")))

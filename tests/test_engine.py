@@ -14,7 +14,7 @@ from quern.streaming import versions
 LAWS = [("A", 0, "建築法", "中央", "法律"), ("B", 1, "建築技術規則", "中央", "命令"), ("C", 2, "臺北市建築管理自治條例", "臺北市", "自治條例")]
 ARTICLES = [
     ("A", 0, "第1條", "為實施建築管理，特制定本法。"), ("A", 1, "第2條", "本法所稱建築物，為定著於土地上之構造物。"), ("A", 2, "第77條", "建築物應依第一條維護。"), ("A", 3, "第77-1條", "防火避難設施不符者，依第七十七條及本法第二條辦理。"),
-    ("B", 0, "第1條", "本規則依建築法（以下簡稱本法）第七十七條規定訂定之。"), ("B", 1, "第2條", "依建築法第一條至第七十七條之一辦理，並依同法第二條。"), ("C", 0, "第1條", "建築物防火門應符合未知法第三條之規定，及第二條。"),
+    ("B", 0, "第1條", "本規則依建築法（以下簡稱本法）第七十七條規定訂定之。"), ("B", 1, "第2條", "依建築法第一條至第七十七條之一辦理，並依同法第二條。"), ("B", 2, "第3條", "依本法第二條。"), ("C", 0, "第1條", "建築物防火門應符合未知法第三條之規定，及第二條。"),
 ]
 VOCABULARY = Vocabulary({"建技": "建築技術規則"}, ("防火", "避難", "設施"))
 
@@ -86,6 +86,8 @@ def test_citations(spark):
     assert {("A/77-1", "A", "77", "source"), ("A/77-1", "A", "2", "self")} <= found
     assert {("B/2", "A", a, "named") for a in ("1", "2", "77", "77-1")} <= found
     assert ("B/2", "A", "2", "paragraph") in found
+    assert ("B/1", "A", "77", "named") in found and ("B/3", "A", "2", "alias") in found
+    assert [tuple(r) for r in citing.declared_aliases(rows, laws).collect()] == [("B", "本法", "A")]
     assert not any(k.startswith("C/") for k, *_ in found)  # an unknown law leaves what follows without one
 
 
@@ -175,6 +177,46 @@ def test_routes(spark):
     assert (a.law, a.article, a.unit) == ("A", "77-2", "-p1-i2") and (b.ruling, b.query) == ("12", "甲")
 
 
+TABLE = """┌──┬────┐
+│甲│乙乙│
+├──┼────┤
+│丙│丁  │
+│  │戊  │
+└──┴────┘
+"""
+
+
+def test_drawn_tables():
+    from quern.functions.tables import cells_of
+
+    assert cells_of(TABLE) == [(0, 0, 1, 1, "甲"), (0, 1, 1, 1, "乙乙"), (1, 0, 1, 1, "丙"), (1, 1, 1, 1, "丁\n戊")]
+    joined = "┌──┬──┐\n│上 上│\n├──┼──┤\n│左│右│\n└──┴──┘"
+    assert cells_of(joined) == [(0, 0, 1, 2, "上 上"), (1, 0, 1, 1, "左"), (1, 1, 1, 1, "右")]
+    assert cells_of("甲\n乙") is None and cells_of("┌─┐\n│a│") is None
+
+
+def test_evidence_functions(spark):
+    from quern.operators import evidence
+
+    df = spark.createDataFrame([("1", "依內授營字第１１５１１６２９９３號及第一一五一一六二九九四號函"), ("2", "第12號")], "id string, t string")
+    assert [list(r) for r in df.select(evidence.serial_numbers(F.col("t"))).collect()] == [[["1151162993", "1151162994"]], [[]]]
+    numbers = spark.createDataFrame([("1151162994", "9"), ("1151162993", "1")], "number_key string, id string")
+    links = evidence.serial_links(df.withColumnRenamed("id", "key"), "key", "t", numbers)
+    assert [(r.key, r.id) for r in links.collect()] == [("1", "9")]
+    a = spark.createDataFrame([("A", "第77條之1", "文")], "law_id string, no string, text string")
+    row = evidence.enriched_articles(a).first()
+    assert (row.address, row.id, row.anchor) == ("77-1", "A/a:77-1", "a-77-1")
+    laws = spark.createDataFrame([("A", "n", "t1")], "id string, name string, retrieved string")
+    assert evidence.canonical(laws).columns == ["id", "name"]
+    text = "依下列：\n一、甲。\n二、乙。"
+    arts = spark.createDataFrame([("A", "第1條", "1", text)], "law_id string, no string, address string, text string")
+    assert evidence.citation_targets(arts, citing.article_units(arts)).first()["items"] == [2]
+    pages = spark.createDataFrame([(1, "第一章 總則\n文"), (2, "文"), (3, "附錄 甲")], "page int, text string")
+    assert [(r.page, r.title) for r in evidence.outline(pages).collect()] == [(1, "第一章 總則"), (3, "附錄 甲")]
+    words = spark.createDataFrame([(800.0, "12"), (800.0, "文"), (100.0, "12")], "top double, text string")
+    assert evidence.without_footers(words).count() == 2
+
+
 def test_stream_of_versions(spark, tmp_path):
     rows = [("A", 1, "h1"), ("A", 2, "h1"), ("A", 3, "h2"), ("B", 1, "h1")]
     spark.createDataFrame(rows, "law string, at long, digest string").coalesce(1).write.parquet(f"{tmp_path}/in")
