@@ -50,8 +50,13 @@ def squash(text: Column) -> Column:
 
 def grams(text: Column) -> Column:
     """Distinct characters and pairs of neighbouring characters, in order of first sight."""
-    pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.filter(F.split(text, ""), lambda c: c != ""), pairs))
+
+    def both(chars: Column) -> Column:
+        # neighbours are zipped: substring() would walk the text from its start for each pair
+        rest = F.greatest(F.size(chars) - 1, F.lit(0))
+        return F.concat(chars, F.zip_with(F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda a, b: F.concat(a, b)))
+
+    return F.array_distinct(F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), both)[0])
 
 
 def occurrences(text: Column, phrase: Column | str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sinks.scratch import checkpointed
+
 
 def known_edges(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """Distinct edges between two known, different nodes."""
@@ -14,18 +14,6 @@ def known_edges(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFra
     return edges.where(F.col("from") != F.col("to")).distinct().join(ids, "from", "left_semi").join(ids.withColumnRenamed("from", "to"), "to", "left_semi").select(*edges.columns)
 
 
-def _checkpointed(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def descendants(edges: DataFrame, roots: DataFrame, parent: str = "from", child: str = "to", root: str = "root") -> DataFrame:
     """All nodes reachable from each root, itself excluded: (root, node, depth), depth the shortest.
 
@@ -34,12 +22,12 @@ def descendants(edges: DataFrame, roots: DataFrame, parent: str = "from", child:
     """
     e = edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).distinct()
     start = roots.select(F.col(root).alias("root")).distinct()
-    seen = _checkpointed(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "seen")
+    seen = checkpointed(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "seen")
     new, depth = seen, 0
     while True:
         depth += 1
         step = new.join(e, "node").select("root", F.col("next").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        new = _checkpointed(step.withColumn("depth", F.lit(depth)), "frontier")
+        new = checkpointed(step.withColumn("depth", F.lit(depth)), "frontier")
         if new.isEmpty():
             return seen.where("depth > 0")
         seen = seen.unionByName(new)

@@ -9,6 +9,7 @@ from quern.functions.query import Query, Vocabulary, compile_query
 from quern.functions.text import grams
 from quern.operators import graph, search
 from quern.plans.registry import query, table
+from quern.sinks.scratch import checkpointed
 
 #: A fixed query whose first word is an alias of a name made of two known words.
 VOCABULARY = Vocabulary({"bad": "worthless"}, ("scum", "idiot"))
@@ -79,7 +80,7 @@ def ranked_search_top20(spark: SparkSession, sf: str) -> DataFrame:
 def index_equals_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The index path: postings pick candidates, the exact search then reads only those; same rows as a scan."""
     docs = documents(spark, sf)
-    index = search.postings(docs, ["law_id", "no"], [F.col("body_norm")])
+    index = checkpointed(search.postings(docs, ["law_id", "no"], [F.col("body_norm")]), "postings")  # built once, read by each phrase
     found = search.candidate_rows(index, ["law_id", "no"], asked())
     hits = search.search(laws(spark, sf), docs, asked(), VOCABULARY, candidates=found)
     return hits.select("law_id", "no", "type", F.round("score", 6).alias("score"))
