@@ -1,7 +1,8 @@
 """Toxicity: bags of subwords, averaged embeddings, linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams and of the word as a
-whole, all hashed to a fixed number of rows; a text's vector is the mean over its words.
+whole, all hashed to a fixed number of rows; a text's vector is the mean over its distinct
+words, so that a text which repeats one word is not judged by that word alone.
 A misspelt word that was never seen still shares most n-grams with the word it stands for.
 
 As softmax and means are linear, a text's logit is the mean of its words' logits, so
@@ -29,6 +30,8 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 #: The mean word vector is multiplied by this in training, so that a few words can decide.
 SCALE = 100.0
+#: Words without meaning that are added to each text, so that a very short one does not hang on one word.
+REST = 5
 #: Words whose logit a worker keeps before it starts anew.
 CACHED = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,21 +86,21 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if not ws:
             out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
-        uniq, n = np.unique(np.array(ws, object), return_counts=True)
+        uniq = np.unique(np.array(ws, object))
         r, owner = subwords(uniq.tolist())
-        w = (n / n.sum() / np.bincount(owner))[owner]
+        w = (1 / (uniq.size + REST) / np.bincount(owner))[owner]
         keep, back = np.unique(r, return_inverse=True)
         out.append((keep.astype(np.int32), np.bincount(back, w).astype(np.float32)))
     return out
 
 
-def fit(sample: Sample, dim: int = 8, epochs: int = 15, batch: int = 256, rate: float = 0.1, ridge: float = 1500.0, seen: int = 3, seed: int = 7) -> Model:
+def fit(sample: Sample, dim: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.1, ridge: float = 5000.0, seen: int = 3, seed: int = 7) -> Model:
     """Stochastic gradient descent on embeddings and softmax together.
 
     A row's step is divided by the weight it has over all texts, and by ``ridge`` (in
     texts that hold it once), which holds back rare rows; rows in fewer than ``seen``
-    texts stay zero. Classes weigh alike in training; the bias
-    then follows their true frequencies.
+    texts stay zero. Classes weigh alike, so a score of 0.5 means that a text is as
+    likely under either.
     """
     y = np.array([int(v) for v in sample.labels])
     n1, n0 = sample.counts.get(1, 0), sample.counts.get(0, 0)
@@ -139,8 +142,7 @@ def fit(sample: Sample, dim: int = 8, epochs: int = 15, batch: int = 256, rate:
             soft -= 0.05 * hidden.T @ p
             bias -= 0.05 * p.sum(0)
     diff = (soft[:, 1] - soft[:, 0]) * SCALE
-    shift = np.log(max(n1, 1) / max(n0, 1))
-    return Model((emb @ diff).astype(np.float64), float(bias[1] - bias[0] + shift), prior)
+    return Model((emb @ diff).astype(np.float64), float(bias[1] - bias[0]), prior)
 
 
 class Scorer:
@@ -150,17 +152,22 @@ class Scorer:
         self.model = model
         self.cache: dict[str, float] = {}
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's logit, NaN without words."""
         out = np.empty(len(texts))
         for lo in range(0, len(texts), 256):
-            split = [words_of(t) for t in texts[lo : lo + 256]]
+            split = [set(words_of(t)) for t in texts[lo : lo + 256]]
             if len(self.cache) > CACHED:
                 self.cache.clear()
             if new := list(set().union(*split).difference(self.cache)):
                 self.cache.update(zip(new, self.model.word_logits(new).tolist(), strict=True))
             get = self.cache.__getitem__
-            out[lo : lo + 256] = [sum(map(get, ws)) / len(ws) + self.model.bias if ws else np.nan for ws in split]
-        return np.where(np.isnan(out), self.model.prior, 1 / (1 + np.exp(-np.clip(out, -50, 50))))
+            out[lo : lo + 256] = [sum(map(get, ws)) / (len(ws) + REST) + self.model.bias if ws else np.nan for ws in split]
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        z = self.logits(texts)
+        return np.where(np.isnan(z), self.model.prior, 1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
