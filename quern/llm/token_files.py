@@ -51,15 +51,18 @@ def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def coded(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of uint32 values."""
-    control, data = [], []
+    control, data, wide = [], [], values.max(initial=0) > 0xFFFF
     for at in range(0, values.size, BLOCK):
-        v = values[at : at + BLOCK].astype("<u4")
-        extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+        v = values[at : at + BLOCK].astype("<u4" if wide else "<u2")
+        extra = (v > 0xFF).astype(np.uint8)
+        if wide:
+            extra += v > 0xFFFF
+            extra += v > 0xFFFFFF
         padded = np.zeros(-(-v.size // 4) * 4, np.uint8)
         padded[: v.size] = extra
         four = padded.reshape(-1, 4)
         control.append((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes())
-        data.append(v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes())
+        data.append(v.view(np.uint8).reshape(v.size, -1)[np.arange(v.itemsize) <= extra[:, None]].tobytes())
     return b"".join(control), b"".join(data)
 
 
@@ -73,7 +76,7 @@ def decoded(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
         ends = np.cumsum(size, dtype=np.int64) + at
         start = ends - size
         v = data[start].astype("<u4")
-        for k in (1, 2, 3):
+        for k in range(1, int(size.max(initial=1))):
             longer = np.flatnonzero(size > k)
             v[longer] |= data[start[longer] + k].astype("<u4") << np.uint32(8 * k)
         out[lo:hi], at = v, int(ends[-1])

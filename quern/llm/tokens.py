@@ -18,7 +18,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces kept.
-CACHED = 900_000
+CACHED = 1_100_000
 #: Letters of plain words: Basic Latin to Latin Extended-B.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN = re.compile(f"[{LETTERS}]+[.,]*(?:\n[{LETTERS}]+[.,]*)*")
@@ -93,6 +93,11 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """What follows a space, with that space."""
+        if piece.isascii():  # the commonest forms need no pattern
+            if piece.isalpha():
+                return array(self.code, [t.id for t in self.model.tokenize(f"Ġ{piece}")]).tobytes()
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return self.parts[f" {piece[:-1]}"] + self.parts[piece[-1]]
         if not PLAIN.fullmatch(piece):
             return self.whole(f" {piece}")
         parts = PART.findall(piece)
@@ -103,8 +108,10 @@ class Encoder:
     def one(self, text: str) -> bytes:
         if not text or not cut_safely(text):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+        pieces = text.split(" ")
+        first = pieces[0]
+        begin = b"".join([self.parts[p] for p in PART.findall(first)]) if PLAIN.fullmatch(first) else self.whole(first)
+        return begin + b"".join(map(self.pieces.__getitem__, pieces[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids (``dtype``) of each text; null counts as empty."""
