@@ -54,7 +54,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch], dtype: str, vocabulary: int)
         docs = [np.frombuffer(w + r, dtype) for w, r in zip(batch.column("windows").to_pylist(), batch.column("rest").to_pylist(), strict=True)]
         for lo in range(0, len(docs), 64):
             part = docs[lo : lo + 64]
-            key = np.concatenate(part).astype(np.int64) + np.repeat(np.arange(len(part)), [d.size for d in part]) * vocabulary
+            kind = np.uint32 if 64 * vocabulary < 2**32 else np.int64  # short keys sort faster
+            key = np.concatenate(part).astype(kind) + np.repeat((np.arange(len(part)) * vocabulary).astype(kind), [d.size for d in part])
             df += np.bincount(np.unique(key) % vocabulary, minlength=vocabulary)
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["token", "df"])
@@ -102,9 +103,9 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         n = len(docs)
         self.size = np.array([d.size for d in docs])
-        term = np.concatenate(docs).astype(np.int64)
-        key, tf = np.unique(term * n + np.repeat(np.arange(n), self.size), return_counts=True)
-        self.term, self.doc = key // n, key % n
+        kind = np.uint32 if idf.size * n < 2**32 else np.int64  # short keys sort faster
+        key, tf = np.unique(np.concatenate(docs).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), self.size), return_counts=True)
+        self.term, self.doc = (key // kind(n)).astype(np.int64), (key % kind(n)).astype(np.int64)
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.size[self.doc] / mean))
         self.list_at = np.searchsorted(self.term, np.arange(idf.size + 1))
         by_doc = np.argsort(self.doc, kind="stable")
