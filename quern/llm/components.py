@@ -21,7 +21,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    moved = moved.where(F.col("u") != F.col("v"))
+    return moved if large else moved.distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

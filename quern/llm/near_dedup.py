@@ -9,11 +9,13 @@
    Two nodes that share m must meet in a list, and frequent passages stay out of the
    lists of documents that have enough else.
 3. Lists of up to ``SHORT`` nodes give all their pairs. In a longer list each node is
-   compared with one pivot, the node whose hashes are most common. Jaccard distance is a
-   metric: what lies close to the pivot (t) can link only to what is not too far from it
-   (2t - 1), and what is in one component needs no more links. The pairs that remain are
-   compared block by block inside tasks.
-4. Pairs pass if their union sketch does not rule out t; links are confirmed on full sets.
+   compared with one pivot, the node whose hashes are most common; what stays outside
+   the list's main component then meets other members of it for some rounds. What is in one component
+   needs no more links, and Jaccard distance is a metric: what lies close to the main
+   pivot (t) can link only to what is not too far from it (2t - 1). The pairs that remain
+   are compared on full sets, block by block inside tasks, which give just the links that
+   join components.
+4. Other pairs pass if their union sketch does not rule out t; links are confirmed on full sets.
 
 Null and empty texts and texts without words have empty sets and no links. A null doc_id
 is never the smallest of a component; a component of nothing but nulls has a null id.
@@ -30,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
@@ -41,6 +43,10 @@ K = 64
 MISS = 1e-9
 #: Lists up to this length give all their pairs.
 SHORT = 8
+#: Members of a longer list's main component that others meet in one round, and the most rounds.
+PIVOTS, ROUNDS = 16, 2
+#: A list takes part in further rounds if one member in so many is in its main component; others are left to the blocks.
+GROUP = 10
 #: About so many nodes of a longer list are compared in one call with as many others.
 BLOCK = 512
 #: Words whose hash a worker keeps before it starts anew.
@@ -140,14 +146,18 @@ def union_filter(pairs: DataFrame, nodes: DataFrame, k: int, threshold: float) -
     return rows.select("a", "b", judge("sa", "sb").alias("j")).select("a", "b", "j.near", "j.far")
 
 
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, set): the whole sets of the ``wanted`` nodes, made again from the texts of documents that hold them."""
+    known = written(wanted.select("node").distinct().join(nodes.select("node", "key", "rep"), "node"), "wanted")
+    texts = docs.join(known.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    sets = texts.mapInArrow(functools.partial(_full, n=n), "key binary, set binary").dropDuplicates(["key"])
+    return written(sets.join(known.select("node", "key"), "key").select("node", "set"), "sets")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` whose full sets have the similarity."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key", "rep"), "node")
-    wanted = written(wanted, "wanted")
-    texts = docs.join(wanted.select(F.col("rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(functools.partial(_full, n=n), "key binary, set binary").dropDuplicates(["key"]).join(wanted.select("node", "key"), "key").select("node", "set")
-    sets = written(sets, "sets")
+    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs, n)
 
     @F.pandas_udf("boolean")
     def alike(sa: pd.Series, sb: pd.Series) -> pd.Series:
@@ -173,37 +183,61 @@ def inverted_lists(nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     return entries.select("node", "weight", F.explode("e.value").alias("value"))
 
 
-def _blocks(key, pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
-    """Pairs of one block pair that may be alike and lie in different components."""
-    left, right = (pdf[pdf["side"] == side].drop_duplicates("node") for side in (0, 1))
-    if right.empty:  # a block with itself
-        right = left
-    m = min(shared_at_least(k, threshold), *(math.ceil(round(threshold * len(s), 9)) for s in left["sketch"]), *(math.ceil(round(threshold * len(s), 9)) for s in right["sketch"]))
-    values = np.concatenate([*left["sketch"], *right["sketch"]])
-    _, code = np.unique(values, return_inverse=True)
-    at = sum(map(len, left["sketch"]))
-    own = [np.repeat(np.arange(len(x)), [len(s) for s in x["sketch"]]) for x in (left, right)]
-    dense = np.zeros((2, max(len(left), len(right)), int(code.max()) + 1), np.float32)
-    dense[0, own[0], code[:at]] = 1
-    dense[1, own[1], code[at:]] = 1
-    common = dense[0, : len(left)] @ dense[1, : len(right)].T
-    i, j = np.nonzero(common >= m)
-    a, b = left.iloc[i], right.iloc[j]
-    ok = (a["comp"].to_numpy() != b["comp"].to_numpy()) & (a["node"].to_numpy() != b["node"].to_numpy())
-    if int(pdf["across"].iloc[0]):  # only between those near the pivot and those not
-        ok &= a["linked"].to_numpy() != b["linked"].to_numpy()
-    x, y = a["node"].to_numpy()[ok], b["node"].to_numpy()[ok]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-
-def block_pairs(members: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Candidate pairs in lists ``members(list, node, comp, linked, across)`` of any length."""
-    count = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sized = members.join(count, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", "node", "comp", "linked", "across", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = rows.join(nodes.select("node", "sketch"), "node")
-    return rows.groupBy("list", "i", "j").applyInPandas(functools.partial(_blocks, k=k, threshold=threshold), "a long, b long").distinct()
+def common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many values each pair of sets shares; values are taken ``columns`` at a time."""
+    sizes = [len(x) for x in (*left, *right)]
+    values, codes, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.cumsum(times > 1) - 1  # a value that one set alone has is in no intersection
+    keep = times[codes] > 1
+    owner, codes = owner[keep], place[codes[keep]]
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(codes[-1]) + 1 if codes.size else 0, columns):
+        at = slice(*np.searchsorted(codes, [lo, lo + columns]))
+        dense = np.zeros((len(sizes), columns), np.float32)
+        dense[owner[at], codes[at] - lo] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def _blocks(key, pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the two sides of a block pair: of those that join different components, enough to join them."""
+    sides = [pdf[pdf["side"] == side] for side in (0, 1)]
+    if sides[0].empty or sides[1].empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    left, right = ([np.frombuffer(s, np.uint64) for s in x["set"]] for x in sides)
+    both = common(left, right)
+    size = [np.array([len(s) for s in x], np.float64) for x in (left, right)]
+    i, j = np.nonzero(100 * both >= percent * (size[0][:, None] + size[1][None] - both))
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (to := up.get(x, x)) != x:
+            up[x] = up.get(to, to)
+            x = to
+        return x
+
+    nodes, comps = ([x[c].to_numpy() for x in sides] for c in ("node", "comp"))
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = root(int(comps[0][x])), root(int(comps[1][y]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((int(nodes[0][x]), int(nodes[1][y])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the sides 0 and 1 of each part of ``members(main, part, side, node, comp)``, of any length."""
+    blocks = lambda side: F.ceil(F.count_if(F.col("side") == side) / BLOCK).cast("int")
+    count = members.groupBy("main", "part").agg(blocks(0).alias("b0"), blocks(1).alias("b1")).where("b0 > 0 and b1 > 0")
+    mine = F.col("side") == 0
+    own, other = F.when(mine, F.col("b0")).otherwise(F.col("b1")), F.when(mine, F.col("b1")).otherwise(F.col("b0"))
+    placed = members.join(count, ["main", "part"]).withColumn("own", F.pmod(F.xxhash64("node"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    rows = placed.select("main", "part", "side", "node", "comp", F.when(mine, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(mine, F.col("other")).otherwise(F.col("own")).alias("j"))
+    return rows.join(sets, "node").groupBy("main", "part", "i", "j").applyInPandas(functools.partial(_blocks, percent=percent), "a long, b long")
 
 
 def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,40 +245,63 @@ def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(links.toDF("node", "least"), "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
 
 
+def pivots(rows: DataFrame, order: Column) -> DataFrame:
+    """(value, pivots): the first ``PIVOTS`` nodes of each list in the given order."""
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("value").orderBy(order)))
+    return top.where(F.col("rank") <= PIVOTS).groupBy("value").agg(F.sort_array(F.collect_list("node")).alias("pivots"))  # cut to so many before the shuffle
+
+
 def node_links(nodes: DataFrame, docs: DataFrame, n: int, k: int, threshold: float) -> DataFrame:
     """Components over ``nodes``: (u, v) with v the least node of u's component."""
     percent = math.ceil(round(threshold * 100, 6))
+    pair = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
     lists = written(inverted_lists(nodes, k, threshold), "lists")
     sizes = lists.groupBy("value").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("top"))
-    lists = written(lists.join(sizes.where("n > 1"), "value").select("value", "node", "n", F.col("top.node").alias("pivot")), "lists")
-
-    short = lists.where(F.col("n") <= SHORT).select("value", "node")
-    short = short.toDF("value", "a").join(short.toDF("value", "b"), "value").where("a < b").select("a", "b")
-    long = lists.where(F.col("n") > SHORT)
-    starred = long.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    judged = written(union_filter(short.unionByName(starred).distinct(), nodes, k, threshold), "judged")
-    near = written(confirmed(judged.where("near").select("a", "b"), nodes, docs, n, percent), "links")
-    components = connected_components(near.toDF("u", "v"))
+    shared = lists.join(sizes.where("n > 1"), "value")
+    short = shared.where(F.col("n") <= SHORT).select("value", "node")
+    short = short.toDF("value", "a").join(short.toDF("value", "b"), "value").where("a < b").select("a", "b").distinct()
+    long = written(shared.where(F.col("n") > SHORT).select("value", "node", "weight", F.col("top.node").alias("main")), "long")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        judged = written(union_filter(pairs, nodes, k, threshold), "judged")
+        return judged, written(confirmed(judged.where("near").select("a", "b"), nodes, docs, n, percent), "links")
+
+    starred = long.select("node", F.col("main").alias("pivot")).where("node <> pivot").select(*pair).distinct()
+    judged, links = linked(short.unionByName(starred).distinct())
+    components = connected_components(links.toDF("u", "v"))
     if long.isEmpty():
         return components
-
-    # what each member of a long list is to its pivot
-    told = judged.join(near.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "far", F.coalesce("linked", F.lit(False)).alias("linked"))
-    told = told.union(told.select("b", "a", "far", "linked")).toDF("pivot", "node", "far", "linked")
-    rest = with_components(long.where("node <> pivot").join(told, ["pivot", "node"]).drop("n"), components)
-    apart = rest.where(~F.col("linked"))
-    some = apart.groupBy("value").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    inner = apart.join(some.where("n > 1 and c0 <> c1"), "value").select(F.col("value").alias("list"), "node", "comp", "linked", F.lit(0).alias("across"))
-    open_ = rest.where(F.col("linked") | ~F.col("far"))
-    kinds = open_.groupBy("value").agg(F.max(F.when(~F.col("linked"), F.col("comp"))).alias("o"), F.max(F.when(F.col("linked"), F.col("comp"))).alias("c1"), F.min(F.when(~F.col("linked"), F.col("comp"))).alias("o0"))
-    across = open_.join(kinds.where("o is not null and c1 is not null and not (o = c1 and o0 = c1)"), "value").select(F.hash("value").cast("long").alias("list"), "node", "comp", "linked", F.lit(1).alias("across"))
-    across = across.withColumn("list", F.xxhash64("list", F.lit("across")))
-    members = written(inner.unionByName(across).distinct(), "members")
+    for number in range(ROUNDS):  # what lies outside a list's main component meets some members of it
+        now = with_components(long, components)
+        main = now.where("node = main").select("value", F.col("comp").alias("main_comp"))
+        now = written(now.join(main, "value").select("value", "node", (F.col("comp") == F.col("main_comp")).alias("inside")), "now")
+        share = now.groupBy("value").agg(F.count_if("inside").alias("n_in"), F.count("*").alias("n"))
+        groups = now.join(share.where(f"n_in < n and n_in * {GROUP} >= n"), "value")
+        some = pivots(groups.where("inside"), F.xxhash64("node", F.lit(number)))  # the same in all lists of a group
+        met = groups.where("not inside").join(some, "value").select("node", "pivots").distinct()
+        pairs = met.select("node", F.explode("pivots").alias("pivot")).select(*pair).distinct()
+        more, found = linked(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        judged, links = judged.unionByName(more), links.unionByName(found)
+        if found.isEmpty():
+            break
+        components = connected_components(links.toDF("u", "v"))
+
+    # what each member of a long list is to the list's main node
+    told = judged.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "far", F.coalesce("linked", F.lit(False)).alias("linked"))
+    told = told.union(told.select("b", "a", "far", "linked")).toDF("main", "node", "far", "linked")
+    # lists with one main node are one cluster; each node is in it once
+    now = with_components(long.select("main", "node").distinct(), components)
+    main = now.where("node = main").select("main", F.col("comp").alias("main_comp"))
+    rest = now.where("node <> main").join(main, "main").join(told, ["main", "node"])
+    rest = written(rest.select("main", "node", "comp", "far", "linked", (F.col("comp") != F.col("main_comp")).alias("outside")), "rest")
+    # outsiders meet what is not linked with the main node, and what is if they are not far from that node
+    side = lambda test, part, number: rest.where(test).select("main", F.lit(part).alias("part"), F.lit(number).alias("side"), "node", "comp")
+    members = side("outside", 0, 0).unionByName(side("not linked", 0, 1)).unionByName(side("outside and not far", 1, 0)).unionByName(side("linked", 1, 1))
+    members = written(members.join(rest.where("outside").select("main").distinct(), "main", "left_semi"), "members")
     if members.isEmpty():
         return components
-    more = union_filter(block_pairs(members, nodes, k, threshold), nodes, k, threshold).where("near").select("a", "b")
-    more = confirmed(more, nodes, docs, n, percent)
-    return connected_components(near.unionByName(more).toDF("u", "v"))
+    found = block_links(members, full_sets(members, nodes, docs, n), percent)
+    return connected_components(links.unionByName(found).toDF("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
