@@ -50,7 +50,7 @@ GROUP = 10
 #: About so many nodes of a longer list are compared in one call with as many others.
 BLOCK = 512
 #: Words whose hash a worker keeps before it starts anew.
-CACHED = 1_000_000
+CACHED = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
