@@ -4,9 +4,11 @@ Documents become token ids with an end id. Whole windows of a long document are
 of their own. What is left of each document (under a window) is dealt to shards by two
 of its telling tokens (a weighted min-hash), so that texts with rare words in common tend
 to meet; a shard has a bounded number of remainders, however they are distributed. In a
-shard, each seed's most telling terms query a BM25 index; the neighbours found fill its
-window greedily, best first. The first that does not fit is cut, and its rest returns to
-the pool, so windows are full; the last window of a shard is cut at powers of two.
+shard, all terms of a seed query a BM25 index; the neighbours found fill its window
+greedily, best first, until it is full or no unused document scores. They are looked at
+some at a time: if one of these does not fit, the best such is cut at the end, and its
+rest returns to the pool, so windows are full; only documents that share no term with the
+seed are taken by order. The last window of a shard is cut at powers of two.
 
 Document frequencies and mean length are of the whole corpus. Null and empty texts have
 the end id alone. Repeated rows are packed each for itself; doc_id may be null. Equal
@@ -30,8 +32,8 @@ from quern.llm.tokens import encoder
 WINDOW = 2048
 #: Remainders of one shard, about.
 SHARD_ROWS = 4096
-#: Terms of a seed that query the index, and neighbours looked at for a window.
-QUERY_TERMS, NEIGHBOURS = 32, 64
+#: Neighbours looked at in one go; if all of them fit, the next best follow.
+NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_tokens long, start long, length long, ids binary, sequence_id long, offset long"
@@ -105,28 +107,46 @@ class Shard:
         self.size = np.array([d.size for d in docs])
         kind = np.uint32 if idf.size * n < 2**32 else np.int64  # short keys sort faster
         key, tf = np.unique(np.concatenate(docs).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), self.size), return_counts=True)
-        self.term, self.doc = (key // kind(n)).astype(np.int64), (key % kind(n)).astype(np.int64)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.size[self.doc] / mean))
-        self.list_at = np.searchsorted(self.term, np.arange(idf.size + 1))
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.own = by_doc
-        self.own_at = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+        term, doc = (key // kind(n)).astype(np.int64), (key % kind(n)).astype(np.int64)
+        self.terms = idf.size
+        self._index(term, doc, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.size[doc] / mean)))
         self.start = np.zeros(n, np.int64)
         self.left = self.size.copy()
 
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused documents that share telling terms with the seed, best score first."""
-        mine = self.own[self.own_at[seed] : self.own_at[seed + 1]]
-        if mine.size > QUERY_TERMS:
-            mine = mine[np.argpartition(-self.weight[mine], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.list_at[t], self.list_at[t + 1]) for t in self.term[mine].tolist()]
+    def _index(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """Lists by term, and where those of each document are."""
+        self.term, self.doc, self.weight = term, doc, weight
+        self.list_at = np.searchsorted(term, np.arange(self.terms + 1))
+        self.own = np.argsort(doc, kind="stable")
+        self.own_at = np.searchsorted(doc[self.own], np.arange(self.size.size + 1))
+        self.indexed = np.unique(doc).size
+
+    def drop_used(self) -> None:
+        """Used documents leave the lists once they are half of them."""
+        if 2 * np.count_nonzero(self.left) < self.indexed:
+            keep = self.left[self.doc] > 0
+            self._index(self.term[keep], self.doc[keep], self.weight[keep])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of each unused document for all terms of the seed; 0 for others."""
+        mine = self.term[self.own[self.own_at[seed] : self.own_at[seed + 1]]]
+        spans = [slice(a, b) for a, b in zip(self.list_at[mine].tolist(), self.list_at[mine + 1].tolist(), strict=True)]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size.size)
         score[self.left == 0] = 0
         score[seed] = 0
+        return score
+
+    def best(self, score: np.ndarray) -> list[int]:
+        """The next ``NEIGHBOURS`` documents by score, best first."""
         found = np.flatnonzero(score)
         if found.size > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+            least = -np.partition(-score[found], NEIGHBOURS - 1)[NEIGHBOURS - 1]
+            found = found[score[found] >= least]
+        return found[np.argsort(-score[found], kind="stable")][:NEIGHBOURS].tolist()
+
+    def neighbours(self, seed: int) -> list[int]:
+        """The best unused documents that share terms with the seed, best score first."""
+        return self.best(self.scores(seed))
 
     def take(self, doc: int, room: int) -> tuple[int, int, int]:
         """(document, start, length) of the next part of ``doc``, at most ``room`` long."""
@@ -143,22 +163,26 @@ class Shard:
                 place += 1
             if place == n:
                 return
+            self.drop_used()
             made = [self.take(place, WINDOW)]
             room = WINDOW - made[0][2]
             over = None
-            for doc in self.neighbours(place) if room else ():
-                if self.left[doc] <= room:
-                    made.append(self.take(doc, room))
-                    room -= made[-1][2]
-                    if not room:
-                        break
-                elif over is None:
-                    over = doc
+            score = self.scores(place) if room else None
+            while room and over is None and (found := self.best(score)):
+                score[found] = 0
+                for doc in found:
+                    if self.left[doc] <= room:
+                        made.append(self.take(doc, room))
+                        room -= made[-1][2]
+                        if not room:
+                            break
+                    elif over is None:
+                        over = doc
             if room and over is not None:
                 made.append(self.take(over, room))
                 room = 0
             at = place
-            while room and at < n:  # no neighbour is left: whatever comes next
+            while room and at < n:  # no unused document shares a term: whatever comes next
                 if self.left[at]:
                     made.append(self.take(at, room))
                     room -= made[-1][2]

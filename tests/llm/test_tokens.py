@@ -109,6 +109,37 @@ def test_neighbours_are_lexical():
     assert sum(alike) >= 6
 
 
+def shard_of(docs, terms):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=terms)
+    return packing.Shard(docs, np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)), float(np.mean([d.size for d in docs])))
+
+
+def test_short_texts_fill_windows_by_retrieval():
+    """Far more than 64 short neighbours fit a window: they go on being retrieved."""
+    r = np.random.default_rng(1)
+    docs = [r.integers(1000 * (k % 4), 1000 * (k % 4) + 50, 8).astype(np.uint16) for k in range(2048)]
+    made = list(shard_of(docs, 4000).sequences())
+    assert [sum(n for _, _, n in s) for s in made] == [packing.WINDOW] * 8
+    first = made[0][: 1 + sum(bool(set(docs[0]) & set(d)) for d in docs[1:])]
+    assert len(first) > 65 and all(set(docs[0]) & set(docs[d]) for d, _, _ in first)
+
+
+def test_all_terms_of_a_seed_are_scored():
+    """A document that shares only one of the seed's many terms, a common one, is found; scores are those of brute force."""
+    r = np.random.default_rng(2)
+    seed = np.arange(200, dtype=np.uint16)
+    docs = [seed, *[np.append(r.integers(300, 900, 20), 199 if k % 2 else 901).astype(np.uint16) for k in range(40)]]
+    shard = shard_of(docs, 1000)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1000)
+    idf, mean = np.log(1 + (41 - df + 0.5) / (df + 0.5)), np.mean([d.size for d in docs])
+    want = [0.0]
+    for d in docs[1:]:
+        tf = {t: int((d == t).sum()) for t in set(d.tolist()) & set(seed.tolist())}
+        want.append(sum(idf[t] * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * d.size / mean)) for t, f in tf.items()))
+    assert np.allclose(shard.scores(0), want)
+    assert sorted(shard.neighbours(0)) == list(range(2, 41, 2))
+
+
 def test_last_window_is_cut_at_powers():
     parts = [(0, 0, 700), (1, 5, 640)]
     sizes = [sum(n for _, _, n in s) for s in packing.at_powers(parts, 1340)]
