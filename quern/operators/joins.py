@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names whose keys may go to every task at once.
+FEW_NAMES = 1_000_000
+
 
 def with_fallback(df: DataFrame, source: DataFrame, own: str, fallback: str, key: str, value: str) -> DataFrame:
     """``value`` of ``source`` by the row's own key, else by its fallback key."""
@@ -24,13 +27,70 @@ def dictionary_matches(texts: DataFrame, text: str, names: DataFrame, name: str)
     return texts.join(names, F.contains(F.col(text), F.col(name)))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Runs of ``n`` words; the whole if there are fewer."""
+    return words if n == 1 else F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Substrings of ``n`` characters (a power of two), each zipped from two halves; one empty string for 0."""
+    if not n:
+        return F.array(F.lit(""))
+    out, half = F.filter(F.split(text, ""), lambda c: c != ""), 1
+    while half < n:
+
+        def doubled(g: Column, half: int = half) -> Column:
+            rest = F.greatest(F.size(g) - half, F.lit(0))
+            return F.zip_with(F.slice(g, F.lit(1), rest), F.slice(g, F.lit(half + 1), rest), lambda a, b: F.concat(a, b))
+
+        out, half = _once(out, doubled), 2 * half
+    return out
+
+
+def _name_keys(names: DataFrame, name: str, words: int) -> DataFrame:
+    """Each name with the key that a text must hold to contain it, of its keys the one that the fewest names have.
+
+    Inner words of a name stand between white space, so they are whole words of the text
+    too; names without inner words are found by 8, 4, 2 or 1 of their characters.
+    quern_kind: how many words (positive) or characters (negative) the key has.
+    """
+    n, size = F.size(F.split(name, r"\s+")) - 2, F.length(name)
+    inner = F.slice(F.split(name, r"\s+"), F.lit(2), F.greatest(n, F.lit(0)))
+    cases = [(n >= k, k, _runs(inner, k)) for k in range(words, 0, -1)] + [(size >= k, -k, _grams(F.col(name), k)) for k in (8, 4, 2, 1, 0)]
+    kind, keys = F, F
+    for on, k, made in cases:
+        kind, keys = kind.when(on, F.lit(k)), keys.when(on, made)
+    each = names.select(name).where(F.col(name).isNotNull()).distinct().select(name, kind.alias("quern_kind"), F.explode(F.array_distinct(keys)).alias("quern_key"))
+    each = each.withColumn("quern_n", F.count("*").over(Window.partitionBy("quern_key")))
+    least = F.min_by(F.struct("quern_kind", "quern_key"), F.struct("quern_n", "quern_key")).alias("quern_least")
+    return each.groupBy(name).agg(least).select(name, "quern_least.*")
+
+
 def token_matches(texts: DataFrame, text: str, names: DataFrame, name: str, words: int = 1) -> DataFrame:
-    """As ``dictionary_matches`` for names made of whole words, by an equi-join on each name's first ``words`` words."""
-    heads = names.withColumn("quern_key", F.array_join(F.slice(F.split(name, r"\s+"), 1, words), " "))
-    every = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - words + 1)), lambda i: F.array_join(F.slice(ws, i, words), " "))
-    keys = F.array_distinct(F.transform(F.array(F.split(F.col(text), r"\s+")), every)[0])  # the split is made once a row
-    found = texts.withColumn("quern_key", F.explode_outer(keys)).join(heads, "quern_key").where(F.contains(F.col(text), F.col(name)))
-    return found.drop("quern_key")
+    """As ``dictionary_matches``, by an equi-join: the same rows for any names and texts.
+
+    Each name has one key that every text with it holds (at most ``words`` words, or some
+    characters of a name too short for that); texts that hold the key are then searched.
+    Keys of texts go with the text's hash, as texts are long; keys that no name has are
+    dropped at once if the names are few (counted first).
+    """
+    heads = _name_keys(names, name, words)
+    kinds = {r["quern_kind"]: r["count"] for r in heads.groupBy("quern_kind").count().collect()}
+    n_words, n_chars = sorted(k for k in kinds if k > 0), sorted(-k for k in kinds if k <= 0)
+    keys = [_once(F.split(text, r"\s+"), lambda ws: F.concat(*[_runs(ws, k) for k in n_words]))] if n_words else []
+    keys += [_grams(F.col(text), k) for k in n_chars]
+    every = F.array_distinct(F.concat(*keys)) if keys else F.array().cast("array<string>")
+    wanted = heads.select("quern_key").distinct()
+    held = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("quern_text"), F.explode(every).alias("quern_key"))
+    held = held.join(F.broadcast(wanted) if sum(kinds.values()) <= FEW_NAMES else wanted, "quern_key", "left_semi").distinct()
+    pairs = held.join(heads.select(name, "quern_key"), "quern_key").join(names, name).drop("quern_key")
+    found = texts.withColumn("quern_text", F.xxhash64(text)).join(pairs, "quern_text").where(F.contains(F.col(text), F.col(name)))
+    return found.select(*texts.columns, *names.columns)
 
 
 def specific_first(refs: DataFrame, group: Sequence[str], detail: str) -> DataFrame:

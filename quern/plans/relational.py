@@ -70,7 +70,7 @@ def provenance_fallback(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def dictionary_in_texts(spark: SparkSession, sf: str) -> DataFrame:
     docs, names = table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "name")
-    return joins.token_matches(docs.select("doc_id", "text"), "text", names.where(F.size(F.split("name", r"\s+")) > 4), "name", words=3).select("doc_id", "item_id").distinct()
+    return joins.token_matches(docs.select("doc_id", "text"), "text", names, "name", words=3).select("doc_id", "item_id")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END AS detail FROM lineitem),

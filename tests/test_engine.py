@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions.query import Vocabulary, compile_query
 from quern.functions.text import normalize
 from quern.operators import changes, citing, graph, joins, search
+from quern.plans import QUERIES
 from quern.sinks import tables
 from quern.sources import records
 from quern.streaming import versions
@@ -227,3 +228,25 @@ def test_stream_of_versions(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.law, r.at, r.previous) for r in spark.table("changed").collect()) == [("A", 1, None), ("A", 3, "h1"), ("B", 1, None)]
+
+
+def test_names_in_texts_equal_a_plain_search(spark):
+    """Names of any length, after punctuation and inside words; copies and nulls on both sides."""
+    texts = [
+        "the Civil Code applies", "see (Civil Code), \"Tax Act\" and non-Tax Act", "建築法第一條", "A", "", None, "x  y", "x y", "under [Act on Public Roads and Bridges]; ok", "Act on Public Roads", "the Civil Code applies",
+        "pre-one two three four-post", "one\ttwo three", "😀é😀 mid", "a law of the sea, a law", " lead and trail ",
+    ]
+    names = ["Civil Code", "Tax Act", "建築法", "A", "", None, "x  y", "Act on Public Roads", "Act on Public Roads and Bridges", "one two three four", "two three four", "one two three", "Code", "😀é", " and ", "law of the sea", "Civil Code", "absent name", "absent name of six whole words", " "]
+    t = spark.createDataFrame(list(enumerate(texts)), "t int, text string")
+    n = spark.createDataFrame(list(enumerate(names)), "n int, name string")
+    want = sorted((i, k) for i, a in enumerate(texts) for k, b in enumerate(names) if a is not None and b is not None and b in a)
+    for words in (1, 2, 3):
+        assert sorted((r.t, r.n) for r in joins.token_matches(t, "text", n, "name", words=words).collect()) == want
+    assert joins.token_matches(t, "text", n.limit(0), "name").collect() == []
+
+
+def test_dictionary_query_keeps_short_names(spark, tmp_path):
+    spark.createDataFrame([(1, "see (Civil Code)."), (2, "civil code"), (1, "the Civil Code")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Civil Code"), (8, "Code")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["dictionary_in_texts"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 7), (1, 7), (1, 8), (1, 8)]
