@@ -20,9 +20,14 @@ LEAST_QUALITY = 0.3
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the compression classifier doesn't reject."""
+    """Keep documents that the compression classifier doesn't reject.
+
+    Labels with fewer than two texts of one class fit no classifier; it then rejects none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(sampled(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, PER_LABEL, MAX_CHARS))
+    if not model.weights:
+        return docs
     return quality.scored(docs, model, out="quern_score").where(F.col("quern_score") >= LEAST_QUALITY).select(*docs.columns)
 
 

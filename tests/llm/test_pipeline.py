@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from quern.llm import secrets
+from tests.llm.cases import clashing
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_scans import base_spans, contained
 from tests.llm.test_tokens import check_pieces
@@ -37,3 +38,9 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_empty_labels_reject_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clashing(spark, [(1, "one two"), (2, None), (None, "three")])
+    assert corpus_pipeline.good_quality(spark, docs, str(tmp_path)).count() == 3
