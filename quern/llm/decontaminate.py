@@ -76,6 +76,13 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns unchanged."""
-    bad = written(contaminated(docs, items, n, threshold).select(F.col("doc_id").alias("quern_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["quern_id"]), "left_anti")
+    """The rows of ``docs`` whose text holds no item; columns unchanged.
+
+    Decided by the text (its SHA-256), whatever the ids: rows with a null or shared id
+    stand each for itself.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key = F.sha2(F.col(f"c{docs.columns.index('text')}"), 256)
+    texts = pick(docs, "text").select(F.sha2("text", 256).alias("doc_id"), "text")
+    bad = written(contaminated(texts, items, n, threshold).select(F.col("doc_id").alias("quern_key")).distinct(), "contaminated")
+    return plain.join(bad, key == bad["quern_key"], "left_anti").toDF(*docs.columns)

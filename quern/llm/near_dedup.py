@@ -321,6 +321,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, k: int
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; columns unchanged."""
-    drop = written(near_duplicates(docs, n, threshold).where("not kept and doc_id is not null").select(F.col("doc_id").alias("quern_id")).distinct(), "dropped")
-    return docs.join(drop, docs["doc_id"] == drop["quern_id"], "left_anti")
+    """One row of each component, that with the smallest doc_id (null is the largest); columns unchanged.
+
+    Decided row by row, so null ids and an id with several texts do no harm. Only rows
+    repeated with the same doc_id and text stay or go together.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = written(plain.withColumn("quern_row", F.monotonically_increasing_id()), "rows")
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    found = near_duplicates(rows.select(F.col("quern_row").alias("doc_id"), text.alias("text")), n, threshold)
+    found = written(found.select(F.col("doc_id").alias("quern_row"), "component_id"), "components")
+    each = found.join(rows.select("quern_row", doc_id.alias("id"), F.sha2(text, 256).alias("hash")), "quern_row")
+    first = each.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "quern_row", "hash")).alias("first")).where("n > 1")
+    same = F.coalesce((F.col("id") == F.col("first.id")) & (F.col("hash") == F.col("first.hash")), F.lit(False))
+    drop = each.join(first, "component_id").where((F.col("quern_row") != F.col("first.quern_row")) & ~same)
+    drop = written(drop.select("quern_row"), "dropped")
+    return rows.join(drop, "quern_row", "left_anti").drop("quern_row").toDF(*docs.columns)

@@ -82,6 +82,14 @@ def test_one_of_each_keeps_columns(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 6, None, 7, 8])
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Null ids and an id with two texts: each row for itself."""
+    a, b, c = "a one two three four five six", "b one two other words stand here", "c nothing like the ones before it"
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, b), (2, c), (3, c)]
+    kept = nd.one_of_each(clashing(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (1, b), (2, c)])
+
+
 def test_union_sketch_counts():
     r = np.random.default_rng(1)
     for _ in range(50):

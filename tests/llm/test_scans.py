@@ -95,6 +95,15 @@ def test_contamination_is_exact(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_contamination_is_decided_by_row(spark):
+    """A contaminated row takes no other row with its id, null or not, with it."""
+    item, clean = "one two three four five six", "seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, clean), (None, None), (1, item), (1, clean), (2, clean), (2, clean)]
+    kept = decontaminate.without_contaminated(clashing(spark, rows), items).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, clean), (1, clean), (2, clean), (2, clean)]
+
+
 def test_contamination_of_nothing(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.contaminated(clashing(spark, []), items).collect() == []
