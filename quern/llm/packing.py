@@ -41,13 +41,15 @@ _PIECE = "doc_tokens long, start long, length long, ids binary, sequence_id long
 
 def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(tokenizer)
-    end = np.array([end_id], enc.dtype).tobytes()
     for batch in batches:
-        ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
-        n = [len(x) // enc.size for x in ids]
-        cut = [k // WINDOW * WINDOW * enc.size for k in n]
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([x[:c] for x, c in zip(ids, cut, strict=True)], pa.binary()), pa.array([x[c:] for x, c in zip(ids, cut, strict=True)], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_tokens", "windows", "rest"])
+        at = 0
+        for rows, flat, edges in enc.encode(batch.column("text"), end_id):
+            n = np.diff(edges)
+            middle = edges[:-1] + n // WINDOW * WINDOW
+            spans = [zip(a.tolist(), b.tolist(), strict=True) for a, b in ((edges[:-1], middle), (middle, edges[1:]))]
+            columns = [batch.column("doc_id").slice(at, rows), pa.array(n, pa.int64()), *[pa.array([flat[a:b].tobytes() for a, b in s], pa.binary()) for s in spans]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_tokens", "windows", "rest"])
+            at += rows
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], dtype: str, vocabulary: int) -> Iterator[pa.RecordBatch]:

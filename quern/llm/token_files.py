@@ -5,6 +5,11 @@ in frequency over the whole file; two control bits give a rank's length of 1 to
 control bytes and data bytes lie apart. Decoding looks up the four lengths of each
 control byte in a table and gathers bytes with numpy.
 
+A partition of the sorted documents gives one file or more, each of at most ``file_tokens``
+ids (a longer document: a file of its own), so a task holds one file's ids. Every attempt
+of a task writes files of its own; the manifest, which Spark's committer writes, names those
+of the attempts that counted, and only these are read.
+
 Layout, little-endian: magic, then counts of documents, tokens, ranks and data bytes
 (uint64 each), doc_id (int64) and its validity (uint8) and token count (int64) for each
 document, the id of each rank (uint32), control bytes, data bytes.
@@ -32,8 +37,11 @@ from quern.llm.tokens import encoder
 #: Fixed values of the format.
 MAGIC = b"QTOKENS1"
 SUFFIX = ".qtok"
+MANIFEST = "file string, part long, place long, n_docs long, n_tokens long"
 #: Tokens coded at once; a multiple of four.
 BLOCK = 1 << 20
+#: Ids after which a file ends, and bytes of ids in one batch of documents read back.
+FILE_TOKENS, BATCH_BYTES = 1 << 23, 32 << 20
 
 #: Row c: the byte lengths of the four ids that control byte c describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -41,7 +49,9 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 
 def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids in descending frequency (ties: ascending id) and the rank of each token."""
-    counts = np.bincount(ids) if ids.size else np.zeros(0, np.int64)
+    counts = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    for at in range(0, ids.size, BLOCK):
+        counts += np.bincount(ids[at : at + BLOCK], minlength=counts.size)
     present = np.flatnonzero(counts)
     order = present[np.argsort(-counts[present], kind="stable")].astype("<u4")
     rank = np.zeros(counts.size, "<u4")
@@ -105,58 +115,82 @@ def unpacked_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndar
     return [d if ok else None for d, ok in zip(doc_ids, valid, strict=True)], lengths, order[decoded(control, data, tokens)]
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Write this partition's file; under another name first, so that a task that runs again replaces a whole file."""
-    enc, doc_ids, parts = encoder(tokenizer), [], []
-    end = np.array([end_id], enc.dtype).tobytes()
+def _save(folder: str, content: bytes) -> str:
+    """Store a file under a name of its own; returns the name."""
+    store, path = fs.FileSystem.from_uri(folder)
+    name = f"{uuid.uuid4().hex}{SUFFIX}"
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{name}") as out:
+        out.write(content)
+    return name
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Write this partition's files; a row for each: its name, place, documents and tokens."""
+    enc, doc_ids, lengths, ids, saved = encoder(tokenizer), [], [], [], []
+
+    def save() -> None:
+        content = packed_file(doc_ids, lengths, np.concatenate(ids))
+        saved.append((_save(folder, content), TaskContext.get().partitionId(), len(saved), len(doc_ids), sum(lengths)))
+        doc_ids.clear(), lengths.clear(), ids.clear()
+
     for batch in batches:
-        doc_ids += batch.column("doc_id").to_pylist()
-        parts += [ids + end for ids in enc.encode(batch.column("text").to_pylist())]
+        known, at = batch.column("doc_id").to_pylist(), 0
+        for rows, flat, edges in enc.encode(batch.column("text"), end_id):
+            lo = 0
+            while lo < rows:
+                room = max(0, file_tokens - sum(lengths))
+                hi = int(np.searchsorted(edges, edges[lo] + room, "right")) - 1
+                hi = min(rows, max(hi, lo if doc_ids else lo + 1))
+                doc_ids += known[at + lo : at + hi]
+                lengths += np.diff(edges[lo : hi + 1]).tolist()
+                ids.append(flat[edges[lo] : edges[hi]].copy())
+                if hi < rows:
+                    save()
+                lo = hi
+            at += rows
     if doc_ids:
-        lengths = [len(p) // enc.dtype.itemsize for p in parts]
-        content = packed_file(doc_ids, lengths, np.frombuffer(b"".join(parts), enc.dtype))
-        part = TaskContext.get().partitionId()
-        store, path = fs.FileSystem.from_uri(folder)
-        name = f"{path}/part-{part:08d}"
-        store.create_dir(path, recursive=True)
-        with store.open_output_stream(temporary := f"{name}.{uuid.uuid4().hex}.tmp") as out:
-            out.write(content)
-        store.move(temporary, f"{name}{SUFFIX}")
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, len(doc_ids), sum(lengths))], names=["part", "n_docs", "n_tokens"])
-
-
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> str:
+        save()
+    columns = zip(*saved, strict=True) if saved else [[]] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["file", "part", "place", "n_docs", "n_tokens"])
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, file_tokens: int = FILE_TOKENS) -> str:
     """Encode every text, append ``end_id``, write files in ascending doc_id; returns the folder.
 
-    ``folder/manifest`` lists each file's number, documents and tokens.
+    ``folder/manifest`` lists each file: name, partition and place in it, documents, tokens.
+    Files go through pyarrow's file systems: local or mounted folders, HDFS and object stores that it knows.
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
     rows = pick(docs, "doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    write = functools.partial(_write, folder=f"{folder}/files", tokenizer=tokenizer, end_id=end_id)
-    rows.mapInArrow(write, "part long, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
+    write = functools.partial(_write, folder=f"{folder}/files", tokenizer=tokenizer, end_id=end_id, file_tokens=file_tokens)
+    rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+        for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
             doc_ids, lengths, ids = unpacked_file(content.as_buffer())
-            starts, part = np.cumsum(lengths) - lengths, int(path.rsplit("part-", 1)[1].split(".")[0])
-            for lo in range(0, len(doc_ids), 500):
-                hi, end = lo + 500, starts[lo : lo + 500][-1] + lengths[lo : lo + 500][-1]
-                flat, edges = ids[starts[lo] : end], np.append(starts[lo:hi], end) - starts[lo]
-                raw = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype("<i4").tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
-                n = len(edges) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi], pa.int64()), pa.array(lengths[lo:hi], pa.int64()), raw], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+            edges, lo = np.append(0, np.cumsum(lengths)), 0
+            while lo < len(doc_ids):  # some documents at a time; offsets of a batch are of 32 bits
+                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BATCH_BYTES // 4, "right")) - 1)
+                offsets = ((edges[lo : hi + 1] - edges[lo]) * 4).astype("<i4")
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids[edges[lo] : edges[hi]].astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * (hi - lo)), pa.array(doc_ids[lo:hi], pa.int64()), pa.array(edges[lo:hi], pa.int64()), pa.array(lengths[lo:hi], pa.int64()), raw], names=["file", "doc_id", "local_start", "n_tokens", "ids"])
+                lo = hi
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32)."""
-    manifest = spark.read.schema("part long, n_docs long, n_tokens long").parquet(f"{folder}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    bases = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(f"{folder}/files").select("path", "content")
-    rows = files.mapInArrow(_read, "part long, doc_id long, local_start long, n_tokens long, ids binary")
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    own = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("before"))
+    inside = manifest.select("file", "part", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("inside"))
+    bases = inside.join(before, "part").select("file", (F.col("before") + F.col("inside")).alias("base"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(f"{folder}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    rows = files.mapInArrow(_read, "file string, doc_id long, local_start long, n_tokens long, ids binary")
+    return rows.join(bases, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")

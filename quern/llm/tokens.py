@@ -1,31 +1,44 @@
-"""Token ids of whole texts with the tokenizers library, each distinct piece of a text encoded once.
+"""Token ids of whole texts with the tokenizers library, each distinct piece of a slice of texts encoded once.
 
 The pre-tokenizer of a byte-level BPE never crosses the boundary before a single space
 that follows a character and precedes a non-space, so a text may be cut at its spaces
 and the pieces encoded apart. Texts in which a space stands next to other white space are
-encoded whole. Pieces made of plain Latin words, ASCII digits and signs, and single line ends
-have known pre-tokens, which go straight to the library's BPE model; any other piece goes
-through the whole tokenizer. Tests hold all of this against encoding whole texts.
+encoded whole. Arrow cuts a slice of texts into pieces and numbers the distinct ones; each
+of these is encoded, and the ids of all pieces are gathered by number. Pieces made of plain
+Latin words, ASCII digits and signs, and single line ends have known pre-tokens, which go
+straight to the library's BPE model; any other piece goes through the whole tokenizer.
+Tests hold all of this against encoding whole texts.
+
+The strings of special tokens in a text count as ordinary text (``encode_special_tokens``),
+as the tokenizer files' own description asks, so that no text can hold an end id.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces kept.
-CACHED = 1_100_000
-#: Letters of plain words: Basic Latin to Latin Extended-B.
+#: Pre-tokens whose ids a worker keeps, in two generations of half as many (about 120 bytes each).
+CACHED = 400_000
+#: UTF-8 bytes of the texts cut at once, besides the last of them.
+SLICE_BYTES = 12 << 20
+#: Letters of plain words: Basic Latin to Latin Extended-B. Signs: ASCII without the apostrophe.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-PLAIN = re.compile(f"[{LETTERS}]+[.,]*(?:\n[{LETTERS}]+[.,]*)*")
-PART = re.compile(f"[{LETTERS}]+|[.,]+|\n")
-#: White space besides the space itself, as either side's rules have it.
-ASCII_SPACE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
-OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SIGNS = r"!-&(-/:-@\[-`{-~"
+PLAIN = rf"^ ?[{LETTERS}0-9{SIGNS}]+(\n[{LETTERS}0-9{SIGNS}]+)*$"
+PART = rf" ?[{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\n"
+#: Stands between the pre-tokens of plain pieces, which can't hold it.
+MARK = "\x01"
+#: A space beside other white space as either side's rules have it, or at the end.
+UNSAFE = r"  | [\t\n\r\x0b\x0c\x1c-\x1f]| $|[\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+SPACE, NOTHING = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
 
 
 def byte_letters() -> list[str]:
@@ -40,87 +53,82 @@ def byte_letters() -> list[str]:
     return out
 
 
-def cut_safely(text: str) -> bool:
-    """Whether every space of ``text`` stands between characters that are not white space, or at least precedes one and follows no space."""
-    if "  " in text or text.endswith(" ") or any(f" {c}" in text for c in ASCII_SPACE if c in text):
-        return False
-    return text.isascii() or not OTHER_SPACE.search(text)
-
-
-class Pieces(dict):
-    """Ids (bytes) of each piece, found when first asked for; those not asked for lately are dropped."""
-
-    def __init__(self, find, most: int) -> None:
-        self.find, self.most, self.old = find, most, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.find(piece)
-        self[piece] = ids
-        return ids
-
-    def age(self) -> None:
-        if 2 * len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """Encodes texts to arrays of ids; keep one for each Python worker."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # what comes here is new, as a rule
         self.size = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.size}")
         self.letters = dict(enumerate(byte_letters()))
         self.code = {2: "H", 4: "I"}[self.size]
-        self.pieces = Pieces(self.piece, CACHED)
-        self.parts = Pieces(self.part, CACHED // 4)
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def part(self, part: str) -> bytes:
-        """A single pre-token."""
-        seen = part.replace(" ", "Ġ").replace("\n", "Ċ") if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """What follows a space, with that space."""
-        if piece.isascii():  # the commonest forms need no pattern
-            if piece.isalpha():
-                return array(self.code, [t.id for t in self.model.tokenize(f"Ġ{piece}")]).tobytes()
-            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-                return self.parts[f" {piece[:-1]}"] + self.parts[piece[-1]]
-        if not PLAIN.fullmatch(piece):
-            return self.whole(f" {piece}")
-        parts = PART.findall(piece)
-        if len(parts) == 1:
-            return self.part(f" {piece}")
-        return self.parts[f" {parts[0]}"] + b"".join([self.parts[p] for p in parts[1:]])
-
-    def one(self, text: str) -> bytes:
-        if not text or not cut_safely(text):
-            return self.whole(text)
-        pieces = text.split(" ")
-        first = pieces[0]
-        begin = b"".join([self.parts[p] for p in PART.findall(first)]) if PLAIN.fullmatch(first) else self.whole(first)
-        return begin + b"".join(map(self.pieces.__getitem__, pieces[1:]))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids (``dtype``) of each text; null counts as empty."""
-        out = []
-        for text in texts:
-            self.pieces.age()
-            self.parts.age()
-            out.append(self.one(text or ""))
-        return out
+        """Ids of a single pre-token."""
+        if (ids := self.kept.get(part)) is None:
+            if (ids := self.older.get(part)) is None:
+                seen = part.replace(" ", "Ġ").replace("\n", "Ċ") if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                ids = array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+            self.kept[part] = ids
+        return ids
+
+    def piece_ids(self, pieces: pa.Array) -> pa.Array:
+        """Ids (large_binary) of each of some distinct pieces, which begin with their space if they follow one."""
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.if_else(plain, pieces, NOTHING), PART, rf"\0{MARK}"), MARK)
+        parts = lists.values.dictionary_encode()
+        _, offsets, data = pa.array(map(self.part, strings(parts.dictionary)), pa.large_binary()).take(parts.indices).buffers()
+        edges = np.frombuffer(offsets, np.int64, len(parts) + 1)[lists.offsets.to_numpy()]
+        known = pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(edges), data])
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if not other.size:
+            return known
+        at = np.arange(len(pieces))
+        at[other] = len(pieces) + np.arange(other.size)
+        return pa.concat_arrays([known, pa.array(map(self.whole, strings(pieces.take(pa.array(other)))), pa.large_binary())]).take(pa.array(at))
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each slice of ``texts``: rows in it, the ids of all of them, and the edges (rows + 1) of each text's ids.
+
+        Null counts as empty; ``end_id`` is put after each text.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES)))
+            yield hi - lo, *self.encoded(texts.slice(lo, hi - lo), end_id)
+            lo = hi
+
+    def encoded(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if 2 * len(self.kept) > CACHED:
+            self.older, self.kept = self.kept, {}
+        unsafe = pc.match_substring_regex(texts, UNSAFE)
+        lists = pc.split_pattern(pc.if_else(unsafe, NOTHING, texts), " ")
+        numbered, edges = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        number, begins = numbered.indices.to_numpy().astype(np.int64), edges[:-1]
+        first, after = np.unique(number[begins]), numbered.dictionary  # the first piece of a text follows no space
+        number[begins] = len(after) + np.searchsorted(first, number[begins])
+        ids = self.piece_ids(pa.concat_arrays([pc.binary_join_element_wise(SPACE, after, NOTHING), after.take(pa.array(first))]))
+        if (apart := np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))).size:
+            number[begins[apart]] = len(ids) + np.arange(apart.size)
+            ids = pa.concat_arrays([ids, pa.array(map(self.whole, strings(texts.take(pa.array(apart)))), pa.large_binary())])
+        _, offsets, data = ids.take(pa.array(number)).buffers()
+        ends = np.frombuffer(offsets, np.int64, len(number) + 1)[edges] // self.size
+        flat = np.frombuffer(data, self.dtype, ends[-1])
+        return (flat, ends) if end_id is None else (np.insert(flat, ends[1:], end_id), ends + np.arange(ends.size))
+
+
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 @functools.cache

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -27,7 +28,8 @@ def ids(text):
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=30), st.text("aB é\n\t .,'!%7½ \x1c\x85²中—", max_size=30), st.lists(st.sampled_from(["the", "foo.", "x\ny", "x.\n", "\ny", "it's", "été,", "1,", "%%a$$", "", "<|endoftext|>"]), max_size=8).map(" ".join)))
 def test_pieces_equal_whole_texts(text):
-    assert ENC.encode([text])[0] == np.array(ids(text), "<u2").tobytes()
+    (_, got, edges), want = next(ENC.encode(pa.array([text, None, text], pa.string()), 7)), [*ids(text), 7]
+    assert got.tolist() == [*want, 7, *want] and edges.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1001])
@@ -45,8 +47,12 @@ def test_frequent_ids_get_low_ranks():
     assert order.tolist() == [7, 2, 9] and rank[[7, 2, 9]].tolist() == [0, 1, 2]
 
 
-def test_files_hold_all_documents_in_order(spark, tmp_path):
-    folder = token_files.write_token_files(clashing(spark, ODD), PATH, 2, f"file://{tmp_path}/t")
+@pytest.mark.parametrize("file_tokens", [1, 10, 1 << 23])
+def test_files_hold_all_documents_in_order(spark, tmp_path, file_tokens):
+    folder = token_files.write_token_files(clashing(spark, ODD), PATH, 2, f"file://{tmp_path}/t", file_tokens)
+    files = spark.read.parquet(f"{folder}/manifest").collect()
+    assert len({f.file for f in files}) == len(files) and all(f.n_docs == 1 or f.n_tokens <= file_tokens for f in files)
+    (tmp_path / "t/files/0.qtok").write_bytes(token_files.packed_file([1], [1], np.array([5], np.uint16)))  # of an attempt that failed
     rows = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)
     want = sorted(ODD, key=lambda x: (-1 if x[0] is None else x[0], x[1] or ""))
     at = 0
