@@ -35,6 +35,8 @@ SHARD_ROWS = 4096
 #: Neighbours looked at in one go; if all of them fit, the next best follow.
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
+#: Terms that one remainder in so many has are kept as rows of a dense matrix, the most frequent first, up to so many cells.
+DENSE_SHARE, DENSE_CELLS = 8, 4 << 20
 
 _PIECE = "doc_tokens long, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -116,24 +118,43 @@ class Shard:
         self.left = self.size.copy()
 
     def _index(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
-        """Lists by term, and where those of each document are."""
+        """Which terms each document has; weights of frequent terms as a dense matrix, of the others as lists by term."""
         self.term, self.doc, self.weight = term, doc, weight
-        self.list_at = np.searchsorted(term, np.arange(self.terms + 1))
-        self.own = np.argsort(doc, kind="stable")
-        self.own_at = np.searchsorted(doc[self.own], np.arange(self.size.size + 1))
-        self.indexed = np.unique(doc).size
+        own = np.argsort(doc, kind="stable")
+        self.own_terms = term[own]
+        self.own_at = np.searchsorted(doc[own], np.arange(self.size.size + 1))
+        self.live = np.unique(doc)
+        self.indexed = self.live.size
+        length = np.bincount(term, minlength=self.terms)
+        often = np.argsort(-length, kind="stable")[: DENSE_CELLS // max(1, self.indexed)]
+        often = np.sort(often[length[often] >= max(2, self.indexed / DENSE_SHARE)])
+        self.row = np.full(self.terms, -1)
+        self.row[often] = np.arange(often.size)
+        self.dense = np.zeros((often.size, self.indexed), np.float32)
+        at = self.row[term]
+        column = np.zeros(self.size.size, np.int64)
+        column[self.live] = np.arange(self.indexed)
+        in_rows, in_lists = at >= 0, at < 0
+        self.dense[at[in_rows], column[doc[in_rows]]] = weight[in_rows]
+        self.list_doc, self.list_weight = doc[in_lists], weight[in_lists]
+        self.list_at = np.searchsorted(term[in_lists], np.arange(self.terms + 1))
 
     def drop_used(self) -> None:
-        """Used documents leave the lists once they are half of them."""
+        """Used documents leave the index once they are half of it."""
         if 2 * np.count_nonzero(self.left) < self.indexed:
             keep = self.left[self.doc] > 0
             self._index(self.term[keep], self.doc[keep], self.weight[keep])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 score of each unused document for all terms of the seed; 0 for others."""
-        mine = self.term[self.own[self.own_at[seed] : self.own_at[seed + 1]]]
-        spans = [slice(a, b) for a, b in zip(self.list_at[mine].tolist(), self.list_at[mine + 1].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size.size)
+        mine = self.own_terms[self.own_at[seed] : self.own_at[seed + 1]]
+        row = self.row[mine]
+        rare = mine[row < 0]
+        spans = [slice(a, b) for a, b in zip(self.list_at[rare].tolist(), self.list_at[rare + 1].tolist(), strict=True)]
+        score = np.zeros(self.size.size)
+        if spans:
+            score += np.bincount(np.concatenate([self.list_doc[s] for s in spans]), np.concatenate([self.list_weight[s] for s in spans]), score.size)
+        score[self.live] += self.dense[row[row >= 0]].sum(0)  # not by matrix product: its threads would take other tasks' cores
         score[self.left == 0] = 0
         score[seed] = 0
         return score
