@@ -7,15 +7,13 @@ one of these, so the search misses nothing; its candidates are verified on full
 
 Only DataFrame functions run here. Words are lower-cased and separated by white space.
 Null, empty and blank texts hold nothing and are found nowhere. An item of fewer than
-``n`` words counts as one shingle of that many words. Repeated document rows share their
-id and give one result row; a null doc_id is a key like any other. Empty tables give an
+``n`` words counts as one shingle of that many words. Repeated rows of documents or items
+share their id and give one result row; a null doc_id or item_id is a key like any other. Empty tables give an
 empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +34,15 @@ def item_sets(items: DataFrame, n: int) -> DataFrame:
     return ws.select("item_id", gram.alias("gram"), F.array_sort(F.array_distinct(chosen)).alias("set"))
 
 
+def enough(shared: Column, size: Column, threshold: float) -> Column:
+    """Whether ``shared`` of ``size`` reach the threshold; the little less makes up for how 0.8 and the like are stored."""
+    return shared >= size * F.lit(threshold) - F.lit(1e-9)
+
+
 def sketch_size(threshold: float) -> Column:
     """Hashes to keep for the largest set of an item's size partition."""
     upper = F.pow(2, F.floor(F.log2(F.size("set"))) + 1) - 1
-    return (upper - F.ceil(upper * F.lit(threshold)) + 1).cast("int")
+    return (upper - F.ceil(upper * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
 
 
 def document_sets(docs: DataFrame, grams: list[int]) -> DataFrame:
@@ -55,7 +58,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     docs = pick(docs, "doc_id", "text")
     sets = written(item_sets(items, n), "items")
     grams = [r["gram"] for r in sets.select("gram").distinct().collect()] or [n]  # at most n values
-    percent = math.ceil(threshold * 100)
 
     sketch = sets.select("item_id", F.explode(F.slice("set", F.lit(1), sketch_size(threshold))).alias("h"))
     if sketch.count() <= BROADCAST_ENTRIES:
@@ -65,10 +67,10 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
     ids = candidates.select(F.col("doc_id").alias("id")).distinct()
     found = document_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), grams)
-    full = found.select("doc_id", F.array_distinct("all").alias("all")).join(candidates.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).join(sets, "item_id")
+    full = found.select("doc_id", F.array_distinct("all").alias("all")).join(candidates.toDF("id", "item"), F.col("doc_id").eqNullSafe(F.col("id"))).join(sets, F.col("item_id").eqNullSafe(F.col("item")))
     shared = full.select("doc_id", "item_id", F.size("set").cast("long").alias("item_shingles"), F.size(F.array_intersect("set", "all")).cast("long").alias("shared"))
     return (
-        shared.where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
+        shared.where(enough(F.col("shared"), F.col("item_shingles"), threshold))
         .groupBy("doc_id", "item_id")
         .agg(F.max("item_shingles").alias("item_shingles"), F.max("shared").alias("shared"))
         .withColumn("containment", F.col("shared") / F.col("item_shingles"))

@@ -2,7 +2,10 @@
 
 Sketches made at one fraction are mergeable (union) and give containment and likeness of
 sets of very different size. A text whose shingles all lie above the fraction keeps its
-smallest hash, so that only texts without words have an empty sketch.
+smallest hash instead, so that only texts without words have an empty sketch. Such a
+stand-in lies above the fraction, where other sketches hold nothing: containment in a
+sketch of another kind can't be estimated from it and is null, and a union keeps a
+stand-in only if no set in it has a hash below the fraction.
 
 Only DataFrame functions run here. Null texts count as empty; texts of fewer than ``n``
 words have one shingle, the whole sequence; texts without words have an empty
@@ -26,11 +29,16 @@ SCALE = 8
 def sketch_of(ws: Column, n: int, scale: int) -> Column:
     """Kept hashes of a word array, ascending."""
     every = F.when(F.size(ws) >= n, shingle_hashes(ws, n)).when(F.size(ws) > 0, F.array(sequence_hash(ws))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_sort(F.array_distinct(of(every, lambda e: kept(e, F.lit(-(2**63) + 2**64 // scale)))))
+    return F.array_sort(F.array_distinct(of(every, lambda e: kept(e, below(scale)))))
 
 
-def kept(every: Column, below: Column) -> Column:
-    return of(F.filter(every, lambda h: h < below), lambda k: F.when((F.size(k) > 0) | (F.size(every) == 0), k).otherwise(F.array(F.array_min(every))))
+def below(scale: int) -> Column:
+    """Hashes under this are kept."""
+    return F.lit(-(2**63) + 2**64 // scale)
+
+
+def kept(every: Column, limit: Column) -> Column:
+    return of(F.filter(every, lambda h: h < limit), lambda k: F.when((F.size(k) > 0) | (F.size(every) == 0), k).otherwise(F.array(F.array_min(every))))
 
 
 def sketched(df: DataFrame, text: str, out: str, n: int = 5, scale: int = SCALE) -> DataFrame:
@@ -39,18 +47,23 @@ def sketched(df: DataFrame, text: str, out: str, n: int = 5, scale: int = SCALE)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the sets behind two sketches."""
+    """Estimated Jaccard similarity of the sets behind two sketches (of two stand-ins: whether they are the same)."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first set that lies in the second, however much larger that is."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of the first set that lies in the second, however much larger that is.
+
+    Null where the first sketch holds a stand-in that the second doesn't: then nothing of
+    the first set is known that the second sketch would hold.
+    """
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when((F.array_min(a) >= below(scale)) & (share == 0), F.lit(None).cast("double")).otherwise(share)
 
 
-def merged(sketches: Column) -> Column:
+def merged(sketches: Column, scale: int = SCALE) -> Column:
     """Sketch of the union of the sets behind an array of sketches."""
-    return F.array_sort(F.array_distinct(F.flatten(sketches)))
+    return F.array_sort(kept(F.array_distinct(F.flatten(sketches)), below(scale)))
 
 
 def as_text(sketch: Column) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.store import pick
 
+#: So many times the wanted rows of a label are ordered by hash to take the first of them.
+MARGIN = 1.25
+
 
 @dataclass
 class Sample:
@@ -24,6 +27,12 @@ def fold(doc_id: Column, k: int) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % k).cast("int")
 
 
+def hash_bound(wanted: int, rows: int) -> int:
+    """A 64-bit hash at or below which ``MARGIN`` times the wanted of so many rows are expected; the largest if all are wanted."""
+    share = MARGIN * (wanted + 100) / max(1, rows)
+    return 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63
+
+
 def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int, max_chars: int) -> Sample:
     """At most ``per_label`` documents of each value of ``label``, in the order of a hash of their id.
 
@@ -33,8 +42,11 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_l
     """
     known = pick(labels, "doc_id", label).withColumnRenamed(label, "label").where(learn & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_label).select("doc_id", "label")  # at most per_label rows a label
+    # hashes under a bound that about MARGIN times as many rows pass as are wanted: few rows meet in a label's window
+    bound = F.coalesce(*[F.when(F.col("label") == k, F.lit(hash_bound(per_label, n))) for k, n in counts.items()], F.lit(2**63 - 1))
+    order = Window.partitionBy("label").orderBy("hash", "doc_id")
+    near = known.withColumn("hash", F.xxhash64("doc_id")).where(F.col("hash") <= bound)
+    chosen = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_label).select("doc_id", "label")  # at most per_label rows a label
     texts = pick(docs, "doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
     rows = sorted(texts.select("doc_id", "text", "label").collect())
     return Sample([r["text"] for r in rows], [r["label"] for r in rows], counts)

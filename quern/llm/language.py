@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.labelled import Sample
+from quern.llm.store import by_place
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -149,7 +150,8 @@ def predicted(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with struct column ``language`` (lang_pred, score)."""
+    """``docs`` with struct column ``language`` (lang_pred, score), whatever other columns there are."""
+    plain, name = by_place(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # six tables of 65536 rows
 
     @F.pandas_udf("lang_pred string, score double")
@@ -162,4 +164,4 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 lang[at], score[at] = predicted(sent.value, [t.encode() for t in texts.iloc[at]])
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("language", predict(text, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))))
+    return plain.withColumn("language", predict(name, F.coalesce(F.col(name).rlike(r"\p{L}"), F.lit(False)))).toDF(*docs.columns, "language")

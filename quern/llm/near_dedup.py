@@ -49,6 +49,8 @@ PIVOTS, ROUNDS = 16, 2
 GROUP = 10
 #: About so many nodes of a longer list are compared in one call with as many others.
 BLOCK = 512
+#: The part of a cluster whose members are compared with one another.
+WITHIN = 2
 #: Words whose hash a worker keeps before it starts anew.
 CACHED = 200_000
 
@@ -93,6 +95,11 @@ class Shingler:
         return out
 
 
+def reaches(both, union, threshold: float):
+    """Whether a similarity reaches the threshold; the little more makes up for how 0.8 and the like are stored."""
+    return both + 1e-6 >= threshold * union
+
+
 def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
@@ -154,7 +161,7 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> D
     return written(sets.join(known.select("node", "key"), "key").select("node", "set"), "sets")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """The ``pairs(a, b)`` whose full sets have the similarity."""
     pairs = written(pairs, "pairs")
     sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs, n)
@@ -165,7 +172,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
         for x, y in zip(sa, sb, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.intersect1d(x, y, assume_unique=True).size
-            out.append(100 * both >= percent * (x.size + y.size - both))
+            out.append(reaches(both, x.size + y.size - both, threshold))
         return pd.Series(out, dtype=bool)
 
     rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -202,15 +209,20 @@ def common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192)
     return out
 
 
-def _blocks(key, pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the two sides of a block pair: of those that join different components, enough to join them."""
+def _blocks(key, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between the two sides of a block pair: of those that join different components, enough to join them.
+
+    A block against itself comes as one side only.
+    """
     sides = [pdf[pdf["side"] == side] for side in (0, 1)]
+    if key[2] == key[3] and key[1] == WITHIN:
+        sides[1] = sides[0]
     if sides[0].empty or sides[1].empty:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     left, right = ([np.frombuffer(s, np.uint64) for s in x["set"]] for x in sides)
     both = common(left, right)
     size = [np.array([len(s) for s in x], np.float64) for x in (left, right)]
-    i, j = np.nonzero(100 * both >= percent * (size[0][:, None] + size[1][None] - both))
+    i, j = np.nonzero(reaches(both, size[0][:, None] + size[1][None] - both, threshold))
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -229,15 +241,21 @@ def _blocks(key, pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the sides 0 and 1 of each part of ``members(main, part, side, node, comp)``, of any length."""
+def block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the sides 0 and 1 of each part of ``members(main, part, side, node, comp)``, of any length.
+
+    Part ``WITHIN`` has side 0 alone, whose members are compared with one another, each pair once.
+    """
     blocks = lambda side: F.ceil(F.count_if(F.col("side") == side) / BLOCK).cast("int")
-    count = members.groupBy("main", "part").agg(blocks(0).alias("b0"), blocks(1).alias("b1")).where("b0 > 0 and b1 > 0")
+    within = F.col("part") == WITHIN
+    count = members.groupBy("main", "part").agg(blocks(0).alias("b0"), blocks(1).alias("b1")).withColumn("b1", F.when(within, F.col("b0")).otherwise(F.col("b1"))).where("b0 > 0 and b1 > 0")
     mine = F.col("side") == 0
     own, other = F.when(mine, F.col("b0")).otherwise(F.col("b1")), F.when(mine, F.col("b1")).otherwise(F.col("b0"))
     placed = members.join(count, ["main", "part"]).withColumn("own", F.pmod(F.xxhash64("node"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
-    rows = placed.select("main", "part", "side", "node", "comp", F.when(mine, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(mine, F.col("other")).otherwise(F.col("own")).alias("j"))
-    return rows.join(sets, "node").groupBy("main", "part", "i", "j").applyInPandas(functools.partial(_blocks, percent=percent), "a long, b long")
+    first = (within & (F.col("own") <= F.col("other"))) | (~within & mine)  # whose row of blocks it is
+    pair = [F.when(first, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("j")]
+    rows = placed.select("main", "part", F.when(first, 0).otherwise(1).alias("side"), "node", "comp", *pair)
+    return rows.join(sets, "node").groupBy("main", "part", "i", "j").applyInPandas(functools.partial(_blocks, threshold=threshold), "a long, b long")
 
 
 def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -253,7 +271,6 @@ def pivots(rows: DataFrame, order: Column) -> DataFrame:
 
 def node_links(nodes: DataFrame, docs: DataFrame, n: int, k: int, threshold: float) -> DataFrame:
     """Components over ``nodes``: (u, v) with v the least node of u's component."""
-    percent = math.ceil(round(threshold * 100, 6))
     pair = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
     lists = written(inverted_lists(nodes, k, threshold), "lists")
     sizes = lists.groupBy("value").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("top"))
@@ -264,7 +281,7 @@ def node_links(nodes: DataFrame, docs: DataFrame, n: int, k: int, threshold: flo
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         judged = written(union_filter(pairs, nodes, k, threshold), "judged")
-        return judged, written(confirmed(judged.where("near").select("a", "b"), nodes, docs, n, percent), "links")
+        return judged, written(confirmed(judged.where("near").select("a", "b"), nodes, docs, n, threshold), "links")
 
     starred = long.select("node", F.col("main").alias("pivot")).where("node <> pivot").select(*pair).distinct()
     judged, links = linked(short.unionByName(starred).distinct())
@@ -294,13 +311,13 @@ def node_links(nodes: DataFrame, docs: DataFrame, n: int, k: int, threshold: flo
     main = now.where("node = main").select("main", F.col("comp").alias("main_comp"))
     rest = now.where("node <> main").join(main, "main").join(told, ["main", "node"])
     rest = written(rest.select("main", "node", "comp", "far", "linked", (F.col("comp") != F.col("main_comp")).alias("outside")), "rest")
-    # outsiders meet what is not linked with the main node, and what is if they are not far from that node
+    # outsiders meet one another, insiders that are not linked with the main node, and those that are if they are not far from that node
     side = lambda test, part, number: rest.where(test).select("main", F.lit(part).alias("part"), F.lit(number).alias("side"), "node", "comp")
-    members = side("outside", 0, 0).unionByName(side("not linked", 0, 1)).unionByName(side("outside and not far", 1, 0)).unionByName(side("linked", 1, 1))
+    members = side("outside", WITHIN, 0).unionByName(side("outside", 0, 0)).unionByName(side("not linked and not outside", 0, 1)).unionByName(side("outside and not far", 1, 0)).unionByName(side("linked", 1, 1))
     members = written(members.join(rest.where("outside").select("main").distinct(), "main", "left_semi"), "members")
     if members.isEmpty():
         return components
-    found = block_links(members, full_sets(members, nodes, docs, n), percent)
+    found = block_links(members, full_sets(members, nodes, docs, n), threshold)
     return connected_components(links.unionByName(found).toDF("u", "v"))
 
 

@@ -1,9 +1,10 @@
 """Compression classifier: two zstandard dictionaries, one of good and one of bad labelled text.
 
-A text is compressed in blocks with each dictionary; every block counts, so a text's
-length does not blur the difference. The compressed-size difference over the size of
-both, and how well the better one does over the raw size, go through a logistic curve
-fitted on labelled texts that are in neither dictionary.
+A text is compressed with each dictionary in short blocks, all of which count: a block
+finds its matches in the dictionary rather than in itself, so neither a text's length nor
+its own repetitions hide which dictionary fits. The difference of the compressed sizes
+over the raw size is the only input of a logistic curve, which is fitted on labelled texts
+that are in neither dictionary and makes the score.
 
 Null, empty and other texts without bytes get the share of good rows among the labels.
 If the sample lacks a class, every text gets that share. Repeated rows score alike.
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.labelled import Sample
+from quern.llm.store import by_place
 
 #: Bytes compressed at once.
-BLOCK = 1024
+BLOCK = 128
 LEVEL = 3
 DICTIONARY_BYTES = 112 * 1024
 
@@ -52,21 +54,18 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             self.both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: the size difference, its square root, the smaller size and the raw size's logarithm; NaN without bytes."""
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """For each text how much smaller the good dictionary makes it, over its size; NaN without bytes."""
         good, bad = self.both
-        out = np.full((len(texts), 4), np.nan)
+        out = np.full(len(texts), np.nan)
         for i, text in enumerate(texts):
             if parts := blocks(text):
-                g, b = [len(good(p)) for p in parts], [len(bad(p)) for p in parts]
-                ng, nb, n = sum(g), sum(b), sum(map(len, parts))
-                diff = (nb - ng) / (nb + ng)
-                out[i] = diff, np.sign(diff) * abs(diff) ** 0.5, np.log(min(ng, nb) / n), np.log(n) / 10
+                out[i] = sum([len(bad(p)) - len(good(p)) for p in parts]) / sum(map(len, parts))
         return out
 
 
-def expanded(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, x[:, 2] ** 2, x[:, 0] * x[:, 2], x[:, 2] * x[:, 3]])
+def curve_inputs(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), x * 100])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -97,24 +96,27 @@ def fit(sample: Sample) -> Model:
         return Model(b"", b"", [], prior)
     bad, good = (trained_dictionary(t[::2]) for t in texts)
     held = [(t, k) for k in (0, 1) for t in texts[k][1::2]]
-    x = Compressors(good, bad).features([t for t, _ in held])
-    ok, label = ~np.isnan(x[:, 0]), np.array([k for _, k in held])
-    w = logistic(expanded(x[ok]), label[ok])
+    x = Compressors(good, bad).differences([t for t, _ in held])
+    ok, label = ~np.isnan(x), np.array([k for _, k in held])
+    if not ok.any():
+        return Model(b"", b"", [], prior)
+    w = logistic(curve_inputs(x[ok]), label[ok])
     rate = len(texts[1][1::2]) / max(1, len(texts[0][1::2]))
     w[0] += np.log(max(n1, 1) / max(n0, 1) / rate)
     return Model(good, bad, w.tolist(), prior)
 
 
 def scores(model: Model, compressors: Compressors, texts: list[str | None]) -> np.ndarray:
-    x = compressors.features(texts)
-    p = 1 / (1 + np.exp(-np.clip(expanded(x) @ np.array(model.weights), -30, 30)))
-    return np.where(np.isnan(x[:, 0]), model.prior, p)
+    x = compressors.differences(texts)
+    p = 1 / (1 + np.exp(-np.clip(curve_inputs(x) @ np.array(model.weights), -30, 30)))
+    return np.where(np.isnan(x), model.prior, p)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability that its text is good in column ``out``."""
+    """``docs`` with the probability that its text is good in column ``out``, whatever other columns there are."""
+    plain, name = by_place(docs, text)
     if not model.weights:
-        return docs.withColumn(out, F.lit(model.prior))
+        return plain.withColumn(out, F.lit(model.prior)).toDF(*docs.columns, out)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
 
     @F.pandas_udf("double")
@@ -123,4 +125,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
         for texts in batches:
             yield pd.Series(scores(sent.value, compressors, texts.tolist()))
 
-    return docs.withColumn(out, score(text))
+    return plain.withColumn(out, score(name)).toDF(*docs.columns, out)

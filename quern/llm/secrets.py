@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.store import pick
+from quern.llm.store import by_place, pick
 
 #: Kinds in the order in which spans that begin together are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -130,5 +130,8 @@ def redact_text(texts: pd.Series) -> pd.Series:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced and, where there is such a column, ``n_chars`` counted anew."""
-    out = docs.withColumn("text", redact_text("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    plain, text = by_place(docs, "text")
+    out = plain.withColumn(text, redact_text(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn(by_place(docs, "n_chars")[1], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)

@@ -41,6 +41,11 @@ def drop_folder(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_place(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` with columns named by place, so that names that differ in case only can't clash, and the new name of column ``name``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), f"c{df.columns.index(name)}"
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name, so extra columns (even ones that differ in case only) can't clash."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.labelled import Sample
+from quern.llm.store import by_place
 
 WORD = re.compile(r"[^\W_]+")
 SIZES = (3, 4, 5)
@@ -171,7 +172,8 @@ class Scorer:
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability that its text is toxic in column ``out``."""
+    """``docs`` with the probability that its text is toxic in column ``out``, whatever other columns there are."""
+    plain, name = by_place(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     @F.pandas_udf("double")
@@ -180,4 +182,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
         for texts in batches:
             yield pd.Series(scorer.scores(texts.tolist()))
 
-    return docs.withColumn(out, score(text))
+    return plain.withColumn(out, score(name)).toDF(*docs.columns, out)

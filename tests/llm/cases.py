@@ -1,11 +1,11 @@
 """Documents that every operator must handle."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, TEXT2 string, spans string, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, TEXT string, spans string, h long, DOC_ID string"
 
 
 def clashing(spark, rows):
     """A documents table with extra columns named like the operators' own."""
-    full = [(i, t, "en", "s", len(t) if t else 0, 9.0, 7, "x", "y", 5) for i, t in rows]
+    full = [(i, t, "en", "s", len(t) if t else 0, 9.0, 7, "x", "y", 5, "z") for i, t in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

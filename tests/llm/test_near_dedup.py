@@ -75,6 +75,14 @@ def test_odd_rows(spark):
     assert nd.near_duplicates(clashing(spark, []), 4).collect() == []
 
 
+def test_thresholds_between_percents(spark):
+    """4 of 5, 5 of 6 and 6 of 7 shingles in common, at thresholds on and beside these."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s t u v w"), (4, "p q r s t u v w x"), (5, "i j k l m n o h y z"), (6, "i j k l m n o h y")]
+    for threshold, linked in ((0.79, 3), (0.8, 3), (0.805, 2), (0.83, 2), (0.84, 1), (0.86, 0)):
+        got = nd.near_duplicates(clashing(spark, rows), 4, threshold).collect()
+        assert sum(not r.kept for r in got) == linked, threshold
+
+
 def test_one_of_each_keeps_columns(spark):
     df = clashing(spark, ODD)
     kept = nd.one_of_each(df)

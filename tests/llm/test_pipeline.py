@@ -1,8 +1,10 @@
 """The pipeline's stages, one after the other, on the smallest tables."""
 
+from collections import Counter
+
 import corpus_pipeline
 from quern.llm import secrets
-from tests.llm.cases import clashing
+from tests.llm.cases import ODD, clashing
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_scans import base_spans, contained
 from tests.llm.test_tokens import check_pieces
@@ -44,3 +46,22 @@ def test_empty_labels_reject_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = clashing(spark, [(1, "one two"), (2, None), (None, "three")])
     assert corpus_pipeline.good_quality(spark, docs, str(tmp_path)).count() == 3
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeats, clashing names and empty tables: each stage keeps columns and what is clean."""
+    for rows in (ODD, []):
+        docs = clashing(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name == "packing":
+                check_pieces(out.collect(), rows)
+                continue
+            assert out.columns == docs.columns
+            ids = Counter(r[0] for r in out.collect())
+            if name == "near duplicates":
+                assert set(ids) == {i for i, _ in rows} - {5, 9}
+            elif name == "secret scan":
+                assert ids == Counter(i for i, _ in rows)
+            else:
+                assert not ids - Counter(i for i, _ in rows)

@@ -104,6 +104,23 @@ def test_contamination_is_decided_by_row(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, clean), (1, clean), (2, clean), (2, clean)]
 
 
+def test_contamination_by_null_and_repeated_items(spark):
+    item, other = "one two three four five six", "a b c d e f g"
+    items = spark.createDataFrame([(None, item), (None, item), (3, other), (3, other), (4, None)], "item_id long, text string")
+    docs = clashing(spark, [(1, item), (None, item), (2, other), (2, other), (5, "nothing of it")])
+    rows = sorted((r.doc_id or 0, r.item_id or 0, r.item_shingles, r.shared) for r in decontaminate.contaminated(docs, items).collect())
+    assert rows == [(0, 0, 2, 2), (1, 0, 2, 2), (2, 3, 3, 3)]
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()] == [5]
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.6, 0.805, 0.9])
+def test_contamination_at_other_thresholds(spark, threshold):
+    item = [f"w{i}" for i in range(204)]
+    docs = [(n, " ".join(item[: n + 4])) for n in range(90, 201)]  # n of 200 shingles
+    got = {r.doc_id for r in decontaminate.contaminated(clashing(spark, docs), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), threshold=threshold).collect()}
+    assert got == {n for n, _ in docs if n >= round(200 * threshold, 6)}
+
+
 def test_contamination_of_nothing(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.contaminated(clashing(spark, []), items).collect() == []
@@ -181,6 +198,43 @@ def test_sketches_estimate(spark):
     assert abs(like - 0.5) < 0.08 and inside == 1.0 and small == 1.0 and none == 0.0 and merged == s[2]
 
 
+def test_containment_of_short_texts(spark):
+    """What is estimated of short texts inside a long one is never a false 0, and unions are those of the sets."""
+    r = random.Random(4)
+    long = [f"w{r.randrange(10**6)}" for _ in range(500)]
+    texts = [(0, " ".join(long)), *[(1 + k, " ".join(long[k : k + 10])) for k in range(200)], *[(300 + k, " ".join(f"v{k}x{i}" for i in range(10))) for k in range(100)]]
+    s = fingerprint.sketched(spark.createDataFrame(texts, "doc_id long, text string"), "text", "s").select("doc_id", "s")
+    pairs = s.join(s.where("doc_id = 0").select(F.col("s").alias("big")))
+    got = pairs.where("doc_id > 0").select("doc_id", fingerprint.containment(F.col("s"), F.col("big")).alias("share"), (fingerprint.merged(F.array("s", "big")) == F.col("big")).alias("same")).collect()
+    inside = [x.share for x in got if x.doc_id < 300]
+    assert set(inside) == {None, 1.0} and all(x.same for x in got if x.doc_id < 300)
+    assert {x.share for x in got if x.doc_id >= 300} == {None, 0.0}
+    both = s.where("doc_id between 1 and 2").agg(F.collect_list("s").alias("s")).select(fingerprint.merged(F.col("s")).alias("s"))
+    whole = fingerprint.sketched(spark.createDataFrame([(1, " ".join(long[:11]))], "doc_id long, text string"), "text", "s")
+    assert set(both.first().s) <= set(whole.first().s) or len(both.first().s) == 1
+
+
+def plain_sketch(spark, text):
+    """Smallest form of the operator's rule, shingle by shingle."""
+    w = [x for x in re.split("[ \t-\r]+", (text or "").lower()) if x]
+    if not w:
+        return []
+    if len(w) < 5:
+        h = spark.range(1).select(F.xxhash64(F.lit(0), F.array(*map(F.lit, w)))).first()[0]
+        return [h]
+    rows = spark.createDataFrame([w[i : i + 5] for i in range(len(w) - 4)], "a string, b string, c string, d string, e string")
+    h = sorted({x[0] for x in rows.select(F.xxhash64(F.lit(5), "a", "b", "c", "d", "e")).collect()})
+    return [x for x in h if x < -(2**63) + 2**61] or h[:1]
+
+
+def test_fingerprints_follow_the_rule(spark):
+    rows = [(1, "The cat sat on the mat and the dog sat on the cat " * 3), (2, "one two three"), (3, None), (4, " ".join(f"w{i}" for i in range(60)))]
+    for r in fingerprint.edited_pairs(clashing(spark, rows)).collect():
+        text = dict(rows)[r.doc_id]
+        a, b, c = plain_sketch(spark, text), plain_sketch(spark, r.edited), plain_sketch(spark, dict(rows)[r.doc_id - 1 or 4])
+        assert (r.sketch, r.edited_sketch, r.next_sketch) == (a, b, c)
+
+
 def test_fingerprint_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = edited(docs)
