@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, near_dedup, packing, quality, secrets
 from quern.llm.labelled import fold, sampled
 from quern.llm.queries import MAX_CHARS, PER_LABEL, TOKENIZER
-from quern.llm.store import written
+from quern.llm.store import by_place, written
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.3
@@ -28,7 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.fit(sampled(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, PER_LABEL, MAX_CHARS))
     if not model.weights:
         return docs
-    return quality.scored(docs, model, out="quern_score").where(F.col("quern_score") >= LEAST_QUALITY).select(*docs.columns)
+    plain, text = by_place(docs, "text")
+    return quality.scored(plain, model, text, "score").where(F.col("score") >= LEAST_QUALITY).drop("score").toDF(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
