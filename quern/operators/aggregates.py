@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def counts_at_levels(refs: DataFrame, upper: str, lower: str, item: str) -> DataFrame:
-    """Distinct items for each upper key (lower null) and each (upper, lower)."""
+    """Distinct items for each upper key (level 1, lower null) and each (upper, lower), nulls included (level 2)."""
     pairs = refs.select(upper, lower, item).distinct()
-    return pairs.groupingSets([[F.col(upper)], [F.col(upper), F.col(lower)]], F.col(upper), F.col(lower)).agg(F.count_distinct(item).alias("n"))
+    sets = pairs.groupingSets([[F.col(upper)], [F.col(upper), F.col(lower)]], F.col(upper), F.col(lower))
+    return sets.agg((2 - F.grouping_id()).cast("int").alias("level"), F.count_distinct(item).alias("n"))
 
 
 def counts_with_zeros(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -22,8 +23,14 @@ def counts_with_zeros(df: DataFrame, column: str, values: Sequence[str]) -> Data
 
 
 def tree_counts(df: DataFrame, *levels: str) -> DataFrame:
-    """Counts at each level of a hierarchy, nulls standing for all below."""
-    return df.rollup(*levels).agg(F.count("*").alias("n"))
+    """Counts at each level of a hierarchy, the columns below it null; level tells how many columns count, so that null keys are no totals."""
+    return df.rollup(*levels).agg((len(levels) - F.bit_count(F.grouping_id())).cast("int").alias("level"), F.count("*").alias("n"))
+
+
+def tree_with_empty(counts: DataFrame, tops: DataFrame, top: str) -> DataFrame:
+    """``tree_counts`` with a zero row for each value of ``tops(top)`` that has none."""
+    missing = tops.select(top).distinct().join(counts.where("level = 1"), top, "left_anti").select(top, F.lit(1).alias("level"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(missing, allowMissingColumns=True)
 
 
 def facet_counts(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -74,3 +81,14 @@ def merged_intervals(df: DataFrame, key: Sequence[str], start: str, end: str, ga
 def pivot_counts(df: DataFrame, group: str, tests: Sequence[tuple[str, Column]]) -> DataFrame:
     """One row a group: how many rows pass each test."""
     return df.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(t).alias(name) for name, t in tests])
+
+
+def observed(df: DataFrame, group: Sequence[str], at: str) -> DataFrame:
+    """How often and when each group was seen: n, first, last."""
+    return df.groupBy(*group).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def label_sets(df: DataFrame, group: Sequence[str], label: str, out: str) -> DataFrame:
+    """The distinct labels of each group, sorted; for labels of a small closed set."""
+    pairs = df.select(*group, label).distinct()
+    return pairs.groupBy(*group).agg(F.sort_array(F.collect_list(label)).alias(out))

@@ -75,6 +75,11 @@ def distinct_evidence(entries: DataFrame, identity: Sequence[str], order: str) -
     return entries.withColumn("quern_rn", F.row_number().over(w)).where("quern_rn = 1").drop("quern_rn")
 
 
+def left_over(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` without as many equal ones of ``b``."""
+    return a.exceptAll(b)
+
+
 def evidence_rows(*pairs: tuple[str, Column]) -> Column:
     """Label and value of each given column as an array of structs, those without value left out."""
     rows = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("string").alias("value")) for k, v in pairs])

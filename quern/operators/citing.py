@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.chains import clean_name, kind_of
-from quern.functions.segmenting import citations, definitions, units
+from quern.functions.segmenting import LAW_NAME, at_boundary, citations, definitions, spans, term_spans, text_blocks, unit_targets, units
 from quern.functions.text import normalize
 
 #: Members of a range at most; longer ones are rejected.
 MOST = 20
+SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
+#: How a law's first article says under which other law it is made, and how the general part of rules in volumes is named.
+ENACTED = "^本(自治條例|自治規則|條例|規則|辦法|細則|準則|要點|基準|注意事項|標準|通則|規程|規範|編|法)\\s*(?:依據|依照|依)\\s*([一-鿿]{2,60}?)(?:第[^。\\n]{0,90})?規定(?:訂定|訂之|制定)"
+GENERAL_PART, VOLUME = "規則總則編", "^(.*規則).*編$"
 
 
 def name_register(laws: DataFrame) -> DataFrame:
@@ -39,6 +43,51 @@ def declared_aliases(articles: DataFrame, laws: DataFrame) -> DataFrame:
     return best.where("n = 1").select("law_id", "alias", "alias_law")
 
 
+def declared_bases(articles: DataFrame, laws: DataFrame) -> DataFrame:
+    """(law_id, alias, alias_law): what 本法 or the like means in a law whose first article says that it is made under another."""
+    first = articles.where("ord = 0").select("law_id", F.regexp_extract("text", ENACTED, 1).alias("own"), F.regexp_extract("text", ENACTED, 2).alias("under"))
+    me = laws.select(F.col("id").alias("law_id"), "kind", clean_name(normalize("name")).alias("own_name"))
+    rows = first.where("own <> ''").join(me, "law_id").where(owns(F.concat(F.lit("本"), "own"), F.col("kind"), F.col("own_name")))
+    parents = name_register(laws).withColumnRenamed("law_id", "alias_law")
+    return rows.join(parents, normalize("under") == F.col("name")).where("alias_law <> law_id").select("law_id", F.concat(F.lit("本"), kind_of(clean_name(F.col("name")))).alias("alias"), "alias_law")
+
+
+def citation_context(articles: DataFrame, laws: DataFrame) -> DataFrame:
+    """Names that mean another law inside each law: law_id, alias, alias_law, source_law, kind (alias or basis).
+
+    A law's own first article declares them; the volumes of one set of rules take over what
+    本法 means in its general part, unless they say so themselves.
+    """
+    own = declared_aliases(articles, laws).withColumn("kind", F.lit("alias")).unionByName(declared_bases(articles, laws).withColumn("kind", F.lit("basis")))
+    own = own.dropDuplicates(["law_id", "alias", "alias_law"]).withColumn("source_law", F.col("law_id"))
+    volumes = laws.select("id", normalize("name").alias("name")).select("id", "name", F.regexp_extract("name", VOLUME, 1).alias("stem")).where("stem <> ''")
+    general = volumes.where(F.endswith("name", F.lit(GENERAL_PART))).select("stem", F.col("id").alias("source_law"))
+    given = own.where("alias = '本法'").select("source_law", "alias", "alias_law", "kind")
+    taken = volumes.join(general, "stem").where("id <> source_law").select(F.col("id").alias("law_id"), "source_law").join(given, "source_law")
+    taken = taken.join(own.where("alias = '本法'").select("law_id"), "law_id", "left_anti")
+    return own.unionByName(taken).select("law_id", "alias", "alias_law", "source_law", "kind")
+
+
+def unit_counts(units: DataFrame) -> DataFrame:
+    """Per article the units it has: law_id, no, counts (for each paragraph the numbers of subitems of its items)."""
+    subs = units.where("kind = 'subitem'").groupBy("law_id", "no", F.col("parent_id").alias("unit_id")).agg(F.count("*").cast("int").alias("n"))
+    items = units.where("kind = 'item'").join(subs, ["law_id", "no", "unit_id"], "left").groupBy("law_id", "no", F.col("parent_id").alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("number", F.coalesce("n", F.lit(0)).alias("n")))).alias("items"))
+    paragraphs = units.where("kind = 'paragraph'").join(items, ["law_id", "no", "unit_id"], "left")
+    each = F.struct("number", F.coalesce(F.transform("items", lambda i: i["n"]), F.array().cast("array<int>")).alias("items"))
+    return paragraphs.groupBy("law_id", "no").agg(F.transform(F.array_sort(F.collect_list(each)), lambda p: p["items"]).alias("counts"))
+
+
+def resolved_units(found: DataFrame, articles: DataFrame, counts: DataFrame) -> DataFrame:
+    """Citations (target_law, address, parts, ...) with one row for each unit they name: unit (empty: the article) and fallback.
+
+    ``fallback`` marks parts that are named but can't be told for certain.
+    """
+    have = articles.select(F.col("law_id").alias("target_law"), "no", "address").join(counts.withColumnRenamed("law_id", "target_law"), ["target_law", "no"], "left").drop("no")
+    rows = found.join(have, ["target_law", "address"], "left").withColumn("t", F.explode(unit_targets("parts", "counts")))
+    unit = F.when(F.col("t.path") != "", F.concat("target_law", F.lit("/a:"), "address", F.lit("/"), "t.path")).otherwise("")
+    return rows.withColumn("unit", unit).withColumn("fallback", F.col("t.fallback")).drop("t", "counts")
+
+
 def article_units(articles: DataFrame) -> DataFrame:
     """Paragraphs, items and subitems: law_id, no, unit_id, parent_id, kind, number, start, end."""
     rows = articles.select("law_id", "no", "address", F.explode(units("text")).alias("u"))
@@ -56,13 +105,15 @@ def found_citations(texts: DataFrame, key: str, laws: DataFrame, articles: DataF
     without a name it is the only law named so far in the paragraph, or the text's own.
     A name that is no known law's leaves what follows without one. Ranges (至) give every
     existing article between, unless there are more than ``MOST``. Returned: key,
-    paragraph, start, end, target_law, address, resolution.
+    paragraph, start, end, target_law, address, resolution, parts (as written). A name counts
+    only where it begins (``at_boundary``).
     """
     c = texts.select(key, "law_id", "paragraph", F.posexplode(citations("text")).alias("at", "c")).select(key, "law_id", "paragraph", "at", "c.*")
     own = laws.select(F.col("id").alias("law_id"), F.col("kind").alias("own_kind"), normalize("name").alias("own_name"))
     c = c.join(own, "law_id", "left")
     # the register's names end the text before a citation: candidates are its suffixes
-    every = c.select(key, "law_id", "paragraph", "at", F.explode(tails(F.col("name"))).alias("tail"))
+    every = c.select(key, "law_id", "paragraph", "at", "name", F.explode(tails(F.col("name"))).alias("tail"))
+    every = every.where(at_boundary(F.left("name", F.length("name") - F.length("tail")))).drop("name")
     short = every.join(declared_aliases(articles, laws).withColumnRenamed("alias", "tail"), ["law_id", "tail"]).groupBy(key, "paragraph", "at").agg(F.max_by("alias_law", F.length("tail")).alias("alias_law"))
     ends = every.join(name_register(laws).withColumnRenamed("law_id", "named_law"), F.col("tail") == F.col("name"))
     named = ends.groupBy(key, "paragraph", "at").agg(F.max_by("named_law", F.length("tail")).alias("named_law"), F.max_by("tail", F.length("tail")).alias("tail"))
@@ -97,7 +148,7 @@ def found_citations(texts: DataFrame, key: str, laws: DataFrame, articles: DataF
     rejected = F.max(F.coalesce(wide, F.lit(False))).over(Window.partitionBy(key, "paragraph", "group"))
     rows = rows.withColumn("rejected", rejected).where(~F.col("rejected"))
     each = rows.withColumn("ordinal", F.explode(F.when(F.col("from").isNotNull(), F.sequence(F.col("from") + 1, F.col("ordinal"))).otherwise(F.array("ordinal"))))
-    return each.drop("address").join(known.select("target_law", "ordinal", "address"), ["target_law", "ordinal"]).select(key, "paragraph", "start", "end", "target_law", "address", "resolution")
+    return each.drop("address").join(known.select("target_law", "ordinal", "address"), ["target_law", "ordinal"]).select(key, "paragraph", "start", "end", "target_law", "address", "resolution", "parts")
 
 
 def ordered_articles(articles: DataFrame) -> DataFrame:
@@ -115,14 +166,25 @@ def law_definitions(articles: DataFrame, laws: DataFrame) -> DataFrame:
     return rows.join(once, ["law_id", "term"], "left_semi").select("law_id", "term", "no", "start", "end")
 
 
-def definition_uses(articles: DataFrame, defined: DataFrame, most: int = 6) -> DataFrame:
-    """First use of each defined term in each other article of its law, at most ``most`` terms an article."""
-    pairs = articles.select("law_id", "no", "text").join(defined.select("law_id", "term", F.col("no").alias("defined_in")), "law_id").where("no <> defined_in")
-    found = pairs.withColumn("start", F.instr("text", F.col("term")) - 1).where("start >= 0").withColumn("end", F.col("start") + F.length("term"))
-    longest = Window.partitionBy("law_id", "no").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = found.withColumn("reach", F.max("end").over(longest)).where(F.col("reach").isNull() | (F.col("start") >= F.col("reach")))
+def definition_uses(articles: DataFrame, defined: DataFrame, citations: DataFrame | None = None, most: int = 6) -> DataFrame:
+    """First use of each defined term in each other article of its law, at most ``most`` terms an article.
+
+    Places inside drawn tables, longer law names and ``citations(law_id, no, start, end)``
+    don't count; the next place of the term does.
+    """
+    terms = articles.select("law_id", "no").join(defined.select("law_id", "term", F.col("no").alias("defined_in")), "law_id").where("no <> defined_in")
+    own = terms.groupBy("law_id", "no").agg(F.collect_set("term").alias("terms"))  # terms of one law
+    blocked = F.concat(F.filter(text_blocks("text"), lambda b: b["kind"] == "table").cast(SPAN_TYPE), F.transform(spans(F.col("text"), LAW_NAME), lambda x: F.struct(F.lit("name").alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    rows = articles.select("law_id", "no", "text").join(own, ["law_id", "no"]).select("law_id", "no", blocked.alias("blocked"), term_spans("text", "terms").alias("uses"))
+    if citations is not None:
+        cited = citations.groupBy("law_id", "no").agg(F.collect_list(F.struct(F.lit("cited"), "start", "end")).cast(SPAN_TYPE).alias("cited"))  # of one article
+        rows = rows.join(cited, ["law_id", "no"], "left").withColumn("blocked", F.concat("blocked", F.coalesce("cited", F.array().cast(SPAN_TYPE))))
+    free = F.filter("uses", lambda u: ~F.exists("blocked", lambda b: (u["start"] < b["end"]) & (u["end"] > b["start"])))
+    uses = rows.select("law_id", "no", F.explode(free).alias("u")).select("law_id", "no", F.col("u.text").alias("term"), "u.start", "u.end")
+    first = uses.groupBy("law_id", "no", "term").agg(F.min("start").alias("start"), F.min("end").alias("end"))
     rank = Window.partitionBy("law_id", "no").orderBy("start")
-    return kept.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= most).select("law_id", "no", "term", "defined_in", "start", "end")
+    kept = first.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= most)
+    return kept.join(terms, ["law_id", "no", "term"]).select("law_id", "no", "term", "defined_in", "start", "end")
 
 
 def basis_relations(articles: DataFrame, laws: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def serial_links(texts: DataFrame, key: str, text: str, numbers: DataFrame) -> D
 
 
 def related_rulings(refs: DataFrame, law: str, article: str, ruling: str) -> DataFrame:
-    """Distinct rulings of each article: law, article, rulings (sorted)."""
-    return refs.select(law, article, ruling).distinct().groupBy(law, article).agg(F.sort_array(F.collect_list(ruling)).alias("rulings"))
+    """Distinct rulings of each article as rows: law, article, ruling."""
+    return refs.select(law, article, ruling).distinct()
 
 
 def sectioned_lines(lines: DataFrame, key: str, order: Sequence[str], text: str, heading: str) -> DataFrame:
@@ -127,3 +127,28 @@ def archive_stats(rulings: DataFrame) -> DataFrame:
 def coverage_share(rows: DataFrame, missing: Column) -> DataFrame:
     """How complete a result is: rows asked for, and rows that could not be read."""
     return rows.agg(F.count("*").alias("candidates"), F.count_if(missing).alias("missing"))
+
+
+def units_by_id(articles: DataFrame, units: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Units with these ids that lie inside their article: law_id, no, unit_id, start, end, quote."""
+    rows = units.where(F.col("unit_id").isin(list(ids))).join(articles.select("law_id", "no", "text"), ["law_id", "no"])
+    inside = (F.col("start") >= 0) & (F.col("end") <= F.length("text")) & (F.col("end") > F.col("start"))
+    return rows.where(inside).select("law_id", "no", "unit_id", "start", "end", unit_text(F.col("text"), F.col("start"), F.col("end")).alias("quote"))
+
+
+def embedded(selectors: DataFrame, articles: DataFrame, rulings: DataFrame) -> DataFrame:
+    """Evidence that selectors (kind, law, article, ruling) ask for: kind, key (law or ruling), quote, content_hash.
+
+    ``articles``: law_id, address, text; ``rulings``: id, body. Texts without words are no evidence.
+    """
+    by_article = selectors.where("kind = 'article'").select(F.col("law").alias("law_id"), address(normalize("article")).alias("address"))
+    found = by_article.join(articles, ["law_id", "address"]).select(F.lit("article").alias("kind"), F.col("law_id").alias("key"), F.col("text").alias("quote"))
+    letters = selectors.where("kind = 'ruling'").select(F.col("ruling").alias("id")).join(rulings, "id").select(F.lit("ruling").alias("kind"), F.col("id").alias("key"), F.col("body").alias("quote"))
+    return found.unionByName(letters).where(F.trim("quote") != "").withColumn("content_hash", F.sha2("quote", 256))
+
+
+def in_buckets(rulings: DataFrame, key: str, size: int = 256) -> DataFrame:
+    """Rulings with the bucket of their numeric id and their place in it by that number."""
+    number = F.col(key).cast("long")
+    rows = rulings.withColumn("bucket", F.floor(number / size).cast("long"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col(key).cast("long"))).cast("long"))

@@ -18,15 +18,6 @@ def with_fallback(df: DataFrame, source: DataFrame, own: str, fallback: str, key
     return df.join(first, own, "left").join(second, fallback, "left").withColumn(value, F.coalesce("quern_own", "quern_bulk")).drop("quern_own", "quern_bulk")
 
 
-def dictionary_matches(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Rows of ``texts`` with each name that occurs in the text.
-
-    Names must be a table whose size is known to be small (a register of names); Spark
-    broadcasts it if its own estimate allows and else falls back to a shuffled product.
-    """
-    return texts.join(names, F.contains(F.col(text), F.col(name)))
-
-
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of a value that is computed once a row, however often ``f`` names it."""
     return F.transform(F.array(value), f)[0]
@@ -72,7 +63,7 @@ def _name_keys(names: DataFrame, name: str, words: int) -> DataFrame:
 
 
 def token_matches(texts: DataFrame, text: str, names: DataFrame, name: str, words: int = 1) -> DataFrame:
-    """As ``dictionary_matches``, by an equi-join: the same rows for any names and texts.
+    """Rows of ``texts`` with each name that occurs in the text, by an equi-join.
 
     Each name has one key that every text with it holds (at most ``words`` words, or some
     characters of a name too short for that); texts that hold the key are then searched.
@@ -93,6 +84,27 @@ def token_matches(texts: DataFrame, text: str, names: DataFrame, name: str, word
     return found.select(*texts.columns, *names.columns)
 
 
+def equal_classes(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows whose value others share: key, first (least key of its class), n (size of the class).
+
+    Classes are counted by hash, so no long value is shuffled, then told apart by the value's digest.
+    """
+    hashed = rows.where(F.col(value).isNotNull()).select(key, F.sha2(value, 256).alias("quern_h"))
+    classes = hashed.groupBy("quern_h").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return hashed.join(classes, "quern_h").select(key, "first", "n")
+
+
+def vocabulary_hits(rows: DataFrame, key: str, text: str, names: DataFrame, word: str) -> DataFrame:
+    """(key, word): words of ``names`` that a text holds as words of Latin letters, each once a text."""
+    held = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)))).alias(word))
+    return held.join(names.select(word).distinct(), word, "left_semi").select(key, word)
+
+
+def referred_to(rows: DataFrame, refs: DataFrame, key: str, ref: str) -> DataFrame:
+    """Rows that some reference points to."""
+    return rows.join(refs.select(F.col(ref).alias(key)), key, "left_semi")
+
+
 def specific_first(refs: DataFrame, group: Sequence[str], detail: str) -> DataFrame:
     """References without detail are dropped where the group has any with detail."""
     has = F.max(F.col(detail) != "").over(Window.partitionBy(*group))

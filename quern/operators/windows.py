@@ -77,3 +77,20 @@ def consecutive(df: DataFrame, partition: Sequence[str], order: str, number: str
     """One row a partition: ok if its numbers are 1, 2, 3 ... in order."""
     w = Window.partitionBy(*partition).orderBy(order)
     return df.withColumn("quern_ok", F.row_number().over(w) == F.col(number)).groupBy(*partition).agg(F.bool_and("quern_ok").alias("ok"), F.count("*").alias("n"))
+
+
+def gaps_between(df: DataFrame, partition: Sequence[str], number: str, most: int) -> DataFrame:
+    """Rows that lie more than ``most`` after the one before them, with that one's number as previous."""
+    w = Window.partitionBy(*partition).orderBy(number)
+    return df.withColumn("previous", F.lag(number).over(w)).where(F.col(number) - F.col("previous") > most)
+
+
+def top_per_group(df: DataFrame, group: Sequence[str], most: int, *order: Column) -> DataFrame:
+    """The first ``most`` rows of each group in the given order, numbered from 1 in rn."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= most)
+
+
+def page_of(df: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
+    """Page ``page`` (from 1) of the rows in the given order."""
+    return df.orderBy(*order).offset((page - 1) * size).limit(size)

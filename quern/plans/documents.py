@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, changes, evidence, graph
+from quern.operators import aggregates, changes, evidence, graph, joins, windows
 from quern.plans.registry import query, table
 from quern.sinks import tables
 from quern.sources import records
 
 
-@query("SELECT item_id, substr(text, 1, 100) AS quote, length(text) > 100 AS cut, sha256(text) AS content_hash FROM benchmark")
+@query("SELECT doc_id, substr(text, 1, 24000) AS quote, length(text) > 24000 AS cut, sha256(text) AS content_hash FROM documents")
 def evidence_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evidence.evidence(table(spark, sf, "benchmark"), "article", F.col("text"), 100, item=F.col("item_id"))
-    return rows.select(F.col("locator.item").cast("long").alias("item_id"), "quote", "cut", "content_hash")
+    rows = evidence.evidence(table(spark, sf, "documents"), "article", F.col("text"), doc=F.col("doc_id"))
+    return rows.select(F.col("locator.doc").cast("long").alias("doc_id"), "quote", "cut", "content_hash")
 
 
 @query("""SELECT doc_id, list_sort(list_distinct(list_concat([source], CASE WHEN quality = 1 THEN ['good', source] ELSE [] END))) AS words FROM documents LEFT JOIN labels USING (doc_id)""")
@@ -24,7 +24,7 @@ def keyword_union(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.keyword_union(docs, more, "doc_id", "words").withColumn("words", F.sort_array("words"))
 
 
-@query("""SELECT l_partkey, l_suppkey, list_sort(list(DISTINCT l_orderkey)) AS rulings FROM lineitem GROUP BY 1, 2""")
+@query("SELECT DISTINCT l_partkey, l_suppkey, l_orderkey FROM lineitem")
 def related_orders(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.related_rulings(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "l_orderkey")
 
@@ -63,18 +63,20 @@ def extraction_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.mismatches(a, b, ["o_orderkey"], ["o_orderstatus", "o_custkey"])
 
 
-@query("""WITH s AS (SELECT item_id, text, unnest([5, 30, 35]) AS a, unnest([20, 50, 60]) AS b FROM benchmark WHERE length(text) >= 80),
-g AS (SELECT item_id, text, 0 AS f, 5 AS t FROM benchmark WHERE length(text) >= 80 UNION ALL SELECT item_id, text, 20, 30 FROM benchmark WHERE length(text) >= 80 UNION ALL SELECT item_id, text, 60, length(text) FROM benchmark WHERE length(text) >= 80)
-SELECT item_id, CAST(f AS INT) AS gap_start, CAST(t AS INT) AS gap_end, substr(text, f + 1, t - f) AS gap FROM g WHERE f < t""")
+@query("""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+g AS (SELECT doc_id, text, 0 AS f, n // 8 AS t FROM n UNION ALL SELECT doc_id, text, n // 4, n // 2 FROM n UNION ALL SELECT doc_id, text, n - n // 8, n FROM n)
+SELECT doc_id, CAST(f AS INT) AS gap_start, CAST(t AS INT) AS gap_end, substr(text, f + 1, t - f) AS gap FROM g WHERE f < t""")
 def uncovered_parts(spark: SparkSession, sf: str) -> DataFrame:
-    spans = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((5, 20), (30, 50), (35, 60))]))
-    rows = table(spark, sf, "benchmark").where("length(text) >= 80").select("item_id", "text", spans.alias("s")).select("item_id", "text", "s.*")
-    return evidence.gaps(rows, "item_id", "text", "a", "b")
+    """Texts with three spans each, two of which overlap; an empty text has no spans."""
+    part = lambda a, b: F.struct(F.expr(a).cast("int").alias("a"), F.expr(b).cast("int").alias("b"))
+    spans = F.explode(F.array(part("n div 8", "n div 4"), part("n div 2", "n - n div 4"), part("n - n div 3", "n - n div 8")))
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.length("text").alias("n")).where("n > 0").select("doc_id", "text", spans.alias("s")).select("doc_id", "text", "s.*")
+    return evidence.gaps(rows, "doc_id", "text", "a", "b")
 
 
 @query("SELECT page_id, upper(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)) AS lang FROM pages")
 def page_languages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.upper(F.regexp_extract("html", '<html lang="([a-z]+)"', 1)).alias("lang"))
+    return table(spark, sf, "pages").select("page_id", F.upper(records.html_attribute("html", "html", "lang")).alias("lang"))
 
 
 @query()
@@ -132,20 +134,18 @@ def not_referenced(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id""")
 def capture_dates(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return aggregates.observed(table(spark, sf, "events"), ["user_id"], "ts").select("user_id", "n", F.col("first").alias("first_ts"), F.col("last").alias("last_ts"))
 
 
 @query("""WITH d AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before, source FROM documents) SELECT doc_id, before, source FROM d WHERE before IS NOT NULL AND doc_id - before > 20""")
 def ordinal_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", before.alias("before"), "source").where("before is not null and doc_id - before > 20")
+    return windows.gaps_between(table(spark, sf, "documents"), ["source"], "doc_id", 20).select("doc_id", F.col("previous").alias("before"), "source")
 
 
-@query("""SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id""")
+@query("""WITH c AS (SELECT text, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1) SELECT doc_id, first, n FROM documents JOIN c USING (text)""")
 def equal_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    other = docs.select(F.col("doc_id").alias("other"), "h", F.col("text").alias("same"))
-    return docs.join(other, "h").where("doc_id < other and text = same").select("doc_id", "other")
+    """Each copy with the first of its class and the size of that; copies are never paired."""
+    return joins.equal_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("SELECT event_type, count(*) AS candidates, count(*) FILTER (value > 40) AS missing FROM events GROUP BY event_type")
@@ -156,7 +156,6 @@ def incomplete_results(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), n AS (SELECT DISTINCT lower(p_type) AS word FROM part UNION SELECT 'the') SELECT doc_id, word FROM w JOIN n USING (word)""")
 def vocabulary_hits(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select(F.lower("p_type").alias("word")).union(spark.createDataFrame([("the",)], "word string")).distinct()
-    words = table(spark, sf, "documents").select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word"))
-    return words.join(names, "word").select("doc_id", "word")
+    return joins.vocabulary_hits(table(spark, sf, "documents"), "doc_id", "text", names, "word")
 
 

@@ -60,10 +60,10 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(a.s_name, b.s_name) AS s_name FROM lineitem
-LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0) a ON a.s_suppkey = l_suppkey LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0) b ON b.s_suppkey = l_linenumber""")
+LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0) a ON a.s_suppkey = l_suppkey LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0) b ON b.s_suppkey = l_linenumber""")
 def provenance_fallback(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    source = table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select("s_suppkey", "s_name")
+    source = table(spark, sf, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name")
     return joins.with_fallback(items, source, "l_suppkey", "l_linenumber", "s_suppkey", "s_name").select("l_orderkey", "l_linenumber", "s_name")
 
 
@@ -87,8 +87,7 @@ def unique_key_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 def backlinks_semi(spark: SparkSession, sf: str) -> DataFrame:
-    refs = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf, "part").select("p_partkey", "p_name").join(refs, "p_partkey", "left_semi")
+    return joins.referred_to(table(spark, sf, "part").select("p_partkey", "p_name"), table(spark, sf, "lineitem").where("l_quantity > 45"), "p_partkey", "l_partkey")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM events""")
@@ -154,15 +153,18 @@ def next_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return joins.next_at_or_after(views, anchors, ["user_id"], "ts", "next_purchase").select("event_id", "next_purchase")
 
 
-@query("""SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY GROUPING SETS ((l_partkey), (l_partkey, l_suppkey))""")
+@query("""SELECT l_partkey, l_suppkey, CAST(2 - grouping(l_suppkey) AS INT) AS level, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY GROUPING SETS ((l_partkey), (l_partkey, l_suppkey))""")
 def ref_counts_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.counts_at_levels(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "l_orderkey")
 
 
-@query("""SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+@query("""WITH c AS (SELECT r_name, n_name, CAST(2 - grouping(r_name) - grouping(n_name) AS INT) AS level, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name))
+SELECT * FROM c UNION ALL SELECT t, NULL, 1, 0 FROM (SELECT r_name AS t FROM region UNION SELECT 'nowhere') WHERE t NOT IN (SELECT r_name FROM c WHERE level = 1)""")
 def tree_rollup(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return aggregates.tree_counts(table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "r_name", "n_name")
+    counts = aggregates.tree_counts(table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "r_name", "n_name")
+    tops = table(spark, sf, "region").select("r_name").union(spark.createDataFrame([("nowhere",)], "r_name string"))
+    return aggregates.tree_with_empty(counts, tops, "r_name").select("r_name", "n_name", "level", "n")
 
 
 @query("""SELECT v.event_type, v.ord, count(e.event_id) AS n FROM (VALUES ('view', 0), ('click', 1), ('purchase', 2), ('refund', 3), ('none', 4)) v(event_type, ord) LEFT JOIN events e ON e.event_type = v.event_type GROUP BY v.event_type, v.ord""")
@@ -271,9 +273,10 @@ def append_on_change(spark: SparkSession, sf: str) -> DataFrame:
     return changes.to_append(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "event_id", "event_type").select("event_id", "user_id", "event_type", "previous_digest")
 
 
-@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3)")
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 def violations(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("doc_id % 10 <> 3")
+    """Labels of documents that are not among the German ones."""
+    docs = table(spark, sf, "documents").where("lang = 'de'")
     return changes.violations(docs, table(spark, sf, "labels").withColumnRenamed("doc_id", "ref"), "doc_id", "ref").select(F.col("ref").alias("doc_id"), "quality", "toxic")
 
 
@@ -302,10 +305,10 @@ def dedup_identity(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, text FROM documents WHERE lang = 'de' EXCEPT ALL SELECT doc_id, text FROM documents WHERE source = 'src3'")
 def set_difference(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.where("lang = 'de'").select("doc_id", "text").exceptAll(docs.where("source = 'src3'").select("doc_id", "text"))
+    return changes.left_over(docs.where("lang = 'de'").select("doc_id", "text"), docs.where("source = 'src3'").select("doc_id", "text"))
 
 
 @query("SELECT list_sort(list_distinct(list(l_returnflag))) AS modes, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
 def pack_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
-    return rows.groupBy("o_orderpriority").agg(F.sort_array(F.collect_set("l_returnflag")).alias("modes"))
+    return aggregates.label_sets(rows, ["o_orderpriority"], "l_returnflag", "modes")

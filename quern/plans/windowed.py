@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import chains, dates, text
 from quern.operators import windows
 from quern.plans.registry import query, table
+from quern.sources import records
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM conversations)
@@ -86,24 +87,24 @@ def mixed_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40")
 def recent_first(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(40)
+    return windows.page_of(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), 1, 40, F.desc("o_orderdate"), F.col("o_orderkey"))
 
 
 @query("""SELECT n_name, c_custkey, c_acctbal, rn FROM (SELECT n_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY (c_mktsegment <> 'BUILDING'), c_acctbal DESC, c_custkey) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE rn <= 5""")
 def top_per_region(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    w = Window.partitionBy("n_name").orderBy(F.col("c_mktsegment") != "BUILDING", F.desc("c_acctbal"), "c_custkey")
-    return rows.withColumn("rn", F.row_number().over(w).cast("long")).where("rn <= 5").select("n_name", "c_custkey", "c_acctbal", "rn")
+    top = windows.top_per_group(rows, ["n_name"], 5, F.col("c_mktsegment") != "BUILDING", F.desc("c_acctbal"), F.col("c_custkey"))
+    return top.select("n_name", "c_custkey", "c_acctbal", "rn")
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10 OFFSET 20")
 def second_page(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").offset(20).limit(10)
+    return windows.page_of(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"), 3, 10, F.desc("s_acctbal"), F.col("s_suppkey"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+@query("""SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS content_hash FROM documents""")
 def hash_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return table(spark, sf, "documents").select("doc_id", text.fingerprint(F.col("doc_id"), F.col("lang"), F.col("source")).alias("content_hash"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '%%%|\\$\\$\\$') THEN 'signs' WHEN regexp_matches(text, '!! ') THEN 'loud' WHEN regexp_matches(text, ' \\| ') THEN 'table' ELSE 'prose' END AS topic FROM documents""")
@@ -125,7 +126,7 @@ def escaped_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    return table(spark, sf, "events").select("event_id", records.json_field("props", "k", "long").alias("k"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '(idiot|moron|scum)', '<mark>\\1</mark>', 'g') AS marked FROM documents")
@@ -133,9 +134,9 @@ def highlighted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.highlighted(F.col("text"), ["idiot", "moron", "scum"]).alias("marked"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS squashed FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[\\s\\x0b]+', '', 'g') AS squashed FROM documents")
 def squashed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[ \t\n\f\r]+", "").alias("squashed"))
+    return table(spark, sf, "documents").select("doc_id", text.squash(F.col("text")).alias("squashed"))
 
 
 @query("SELECT event_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM events")

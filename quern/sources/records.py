@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The feed's element names; it misspells that of an article's text, other copies of it don't.
 LAW_XML = (
     "LawLevel string, LawName string, LawURL string, LawCategory string, LawModifiedDate string, LawEffectiveDate string, LawAbandonNote string, LawForeword string, "
-    "LawArticles struct<Article: array<struct<ArticleType string, ArticleNo string, ArticleContent string>>>, _corrupt_record string"
+    "LawArticles struct<Article: array<struct<ArticleType string, ArticleNo string, ArticleConctent string, ArticleContent string>>>, _corrupt_record string"
 )
 
 
@@ -28,7 +29,7 @@ def xml_laws(spark: SparkSession, path: str, row_tag: str = "Law", schema: str =
 
 def xml_articles(laws: DataFrame, key: str = "LawName") -> DataFrame:
     """Articles and headings in order: key, ord, type, no, text."""
-    return laws.select(key, F.posexplode("LawArticles.Article").alias("ord", "a")).select(key, "ord", F.col("a.ArticleType").alias("type"), F.col("a.ArticleNo").alias("no"), F.col("a.ArticleContent").alias("text"))
+    return laws.select(key, F.posexplode("LawArticles.Article").alias("ord", "a")).select(key, "ord", F.col("a.ArticleType").alias("type"), F.col("a.ArticleNo").alias("no"), F.coalesce("a.ArticleConctent", "a.ArticleContent").alias("text"))
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -147,6 +148,16 @@ def page_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(pages_of(F.col(text))).alias("at", "text")).select(key, (F.col("at") + 1).alias("page"), "text")
 
 
+def html_attribute(html: str, tag: str, attribute: str) -> Column:
+    """Value of an attribute of the first such tag, in double quotes and beginning with the letters of it; empty if there is none."""
+    return F.regexp_extract(html, f'<{tag}\\s[^>]*?{attribute}="([A-Za-z]+)"', 1)
+
+
+def json_field(json: str, name: str, kind: str) -> Column:
+    """A declared field of a JSON object column."""
+    return F.from_json(json, f"{name} {kind}").getField(name)
+
+
 def json_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of records with declared columns; any that doesn't fit fails the read."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
