@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shingles import of, shingle_hashes, words
-from quern.llm.store import pick, written
+from quern.llm.store import if_small, pick, written
 
 #: Sketch entries up to which the items' index is sent to all executors (16 bytes each); beyond it, Spark's joins shuffle.
 BROADCAST_ENTRIES = 1_000_000
+#: Documents (their keys of at most 64 bytes) up to which they are sent to all executors, so that no text is shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def item_sets(items: DataFrame, n: int) -> DataFrame:
@@ -59,15 +61,13 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     sets = written(item_sets(items, n), "items")
     grams = [r["gram"] for r in sets.select("gram").distinct().collect()] or [n]  # at most n values
 
-    sketch = sets.select("item_id", F.explode(F.slice("set", F.lit(1), sketch_size(threshold))).alias("h"))
-    if sketch.count() <= BROADCAST_ENTRIES:
-        sketch = F.broadcast(sketch)
+    sketch = if_small(sets.select("item_id", F.explode(F.slice("set", F.lit(1), sketch_size(threshold))).alias("h")), BROADCAST_ENTRIES)
     probes = document_sets(docs, grams).select("doc_id", F.explode_outer("all").alias("h"))
     candidates = written(probes.join(sketch, "h").select("doc_id", "item_id").distinct(), "candidates")
 
-    ids = candidates.select(F.col("doc_id").alias("id")).distinct()
+    ids = if_small(candidates.select(F.col("doc_id").alias("id")).distinct(), BROADCAST_KEYS)
     found = document_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), grams)
-    full = found.select("doc_id", F.array_distinct("all").alias("all")).join(candidates.toDF("id", "item"), F.col("doc_id").eqNullSafe(F.col("id"))).join(sets, F.col("item_id").eqNullSafe(F.col("item")))
+    full = found.select("doc_id", F.array_distinct("all").alias("all")).join(if_small(candidates.toDF("id", "item"), BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("id"))).join(sets, F.col("item_id").eqNullSafe(F.col("item")))
     shared = full.select("doc_id", "item_id", F.size("set").cast("long").alias("item_shingles"), F.size(F.array_intersect("set", "all")).cast("long").alias("shared"))
     return (
         shared.where(enough(F.col("shared"), F.col("item_shingles"), threshold))
@@ -87,4 +87,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshol
     key = F.sha2(F.col(f"c{docs.columns.index('text')}"), 256)
     texts = pick(docs, "text").select(F.sha2("text", 256).alias("doc_id"), "text")
     bad = written(contaminated(texts, items, n, threshold).select(F.col("doc_id").alias("quern_key")).distinct(), "contaminated")
-    return plain.join(bad, key == bad["quern_key"], "left_anti").toDF(*docs.columns)
+    bad = if_small(bad, BROADCAST_KEYS)
+    return plain.withColumn("quern_key", key).join(bad, "quern_key", "left_anti").drop("quern_key").toDF(*docs.columns)

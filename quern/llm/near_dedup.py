@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.store import pick, written
+from quern.llm.store import by_place, finished, if_small, pick, written
 
 K = 64
 #: Chance that a pair at the threshold shares fewer sketch entries than asked for.
@@ -51,6 +51,8 @@ GROUP = 10
 BLOCK = 512
 #: The part of a cluster whose members are compared with one another.
 WITHIN = 2
+#: Rows to drop up to which they are sent to all executors (about 50 bytes each); beyond it Spark's join shuffles.
+BROADCAST_ROWS = 200_000
 #: Words whose hash a worker keeps before it starts anew.
 CACHED = 200_000
 
@@ -323,7 +325,10 @@ def node_links(nodes: DataFrame, docs: DataFrame, n: int, k: int, threshold: flo
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
     """Each row's doc_id, n_shingles (long), component_id (least doc_id reachable over links) and kept."""
-    docs = pick(docs, "doc_id", "text")
+    return finished(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(pick(docs, "doc_id", "text"), n, threshold, k))
+
+
+def _near_duplicates(docs: DataFrame, n: int, threshold: float, k: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = written(docs.mapInArrow(functools.partial(_sketch, n=n, k=k), f"doc_id {id_type}, n_shingles long, key binary, sketch array<long>"), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -338,19 +343,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, k: int
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row of each component, that with the smallest doc_id (null is the largest); columns unchanged.
+    """One row of each component, one with the smallest doc_id (null is the largest); columns unchanged.
 
-    Decided row by row, so null ids and an id with several texts do no harm. Only rows
-    repeated with the same doc_id and text stay or go together.
+    Rows are told apart by doc_id and text together, so null ids and an id with several
+    texts do no harm; rows that repeat both are one. Rows without words all stay. Texts are
+    not copied: what goes is found by their hashes.
     """
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    rows = written(plain.withColumn("quern_row", F.monotonically_increasing_id()), "rows")
-    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    found = near_duplicates(rows.select(F.col("quern_row").alias("doc_id"), text.alias("text")), n, threshold)
-    found = written(found.select(F.col("doc_id").alias("quern_row"), "component_id"), "components")
-    each = found.join(rows.select("quern_row", doc_id.alias("id"), F.sha2(text, 256).alias("hash")), "quern_row")
-    first = each.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "quern_row", "hash")).alias("first")).where("n > 1")
-    same = F.coalesce((F.col("id") == F.col("first.id")) & (F.col("hash") == F.col("first.hash")), F.lit(False))
-    drop = each.join(first, "component_id").where((F.col("quern_row") != F.col("first.quern_row")) & ~same)
-    drop = written(drop.select("quern_row"), "dropped")
-    return rows.join(drop, "quern_row", "left_anti").drop("quern_row").toDF(*docs.columns)
+    plain, text = by_place(docs, "text")
+    doc_id = F.col(by_place(docs, "doc_id")[1])
+    place = F.struct(doc_id.isNull().alias("gone"), doc_id.alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    found = near_duplicates(plain.select(place.alias("doc_id"), F.col(text).alias("text")), n, threshold)
+    told = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("quern_place")).agg(F.bool_or("kept").alias("quern_kept"), F.count("*").alias("quern_n"))
+    told = written(told.where("not quern_kept or quern_n > 1"), "told")
+    rows = plain.withColumn("quern_place", place)
+    drop, again = (if_small(told.where(test).select("quern_place"), BROADCAST_ROWS) for test in ("not quern_kept", "quern_kept"))
+    left = rows.join(drop, "quern_place", "left_anti")
+    if told.where("quern_kept").isEmpty():
+        return left.drop("quern_place").toDF(*docs.columns)
+    once = rows.join(again, "quern_place", "left_semi").groupBy("quern_place").agg(F.first(F.struct(*plain.columns)).alias("r")).select("r.*")  # partly done before the shuffle
+    return left.join(again, "quern_place", "left_anti").drop("quern_place").unionByName(once).toDF(*docs.columns)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,19 +28,45 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folder of the block of work that goes on (see ``finished``).
+_block: ContextVar[str | None] = ContextVar("block", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
+    path = f"{_block.get()}/{name}-{uuid.uuid4().hex}" if _block.get() else new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_folder(df: DataFrame) -> None:
     """Delete the files behind a table that ``written`` made, when no later read needs them."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written once; every table that is written on the way lies in one folder, which is deleted then."""
+    folder, out = new_folder(spark, f"{name}-work"), new_folder(spark, name)
+    token = _block.set(folder)
+    try:
+        result = make()
+        result.write.parquet(out)
+        schema = result.schema
+    finally:
+        _block.reset(token)
+        delete(spark, folder)
+    return spark.read.schema(schema).parquet(out)
+
+
+def if_small(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, marked to be sent to all executors if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def by_place(df: DataFrame, name: str) -> tuple[DataFrame, str]:
