@@ -294,6 +294,17 @@ def postings(rows: DataFrame, key: list[str], fields: list[Column]) -> DataFrame
     return rows.select(*key, F.explode_outer(every).alias("gram")).where("gram is not null")
 
 
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """How many rows each gram of an index occurs in: gram, df."""
+    return index.groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def reach(rows: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
+    """One row: how many rows an index leaves to be read, of how many."""
+    told = rows.select(*key).join(candidates.select(*key, F.lit(True).alias("quern_read")), key, "left")
+    return told.agg(F.count("quern_read").alias("candidates"), F.count("*").alias("documents"))
+
+
 def phrase_rows(index: DataFrame, key: list[str], word: str) -> DataFrame:
     """Keys of rows that hold every gram of ``word``: the word's only character, or all its pairs."""
     wanted = [word] if len(word) == 1 else list(dict.fromkeys(word[i : i + 2] for i in range(len(word) - 1)))

@@ -9,7 +9,8 @@ from quern.functions.query import Query, Vocabulary, compile_query
 from quern.functions.text import grams
 from quern.operators import graph, search
 from quern.plans.registry import query, table
-from quern.sinks.scratch import checkpointed
+from quern.sinks import tables
+from quern.sinks.scratch import new_folder
 
 #: A fixed query whose first word is an alias of a name made of two known words.
 VOCABULARY = Vocabulary({"bad": "worthless"}, ("scum", "idiot"))
@@ -76,43 +77,88 @@ def ranked_search_top20(spark: SparkSession, sf: str) -> DataFrame:
     return hits.limit(20).select("law_id", "no", "type", F.round("score", 6).alias("score"))
 
 
+def document_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of all documents (law_id, no, gram), built once for each table in a session and kept clustered by gram.
+
+    A search then reads only the row groups of its own grams.
+    """
+    at = (id(spark), sf)
+    if at not in _INDEXES:
+        rows = search.postings(documents(spark, sf), ["law_id", "no"], [F.col("body_norm")])
+        path = new_folder(spark, "index")
+        tables.write_index(rows.withColumns({"kind": F.lit("laws"), "region": F.lit("all")}), path)
+        _INDEXES[at] = path
+    return spark.read.schema("law_id string, no string, gram string, kind string, region string").parquet(_INDEXES[at])
+
+
+_INDEXES: dict[tuple[int, str], str] = {}
+
+
 @query(f"SELECT law_id, no, type, score FROM ({_RANKED})")
 def index_equals_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The index path: postings pick candidates, the exact search then reads only those; same rows as a scan."""
-    docs = documents(spark, sf)
-    index = checkpointed(search.postings(docs, ["law_id", "no"], [F.col("body_norm")]), "postings")  # built once, read by each phrase
-    found = search.candidate_rows(index, ["law_id", "no"], asked())
-    hits = search.search(laws(spark, sf), docs, asked(), VOCABULARY, candidates=found)
+    found = search.candidate_rows(document_index(spark, sf), ["law_id", "no"], asked())
+    hits = search.search(laws(spark, sf), documents(spark, sf), asked(), VOCABULARY, candidates=found)
     return hits.select("law_id", "no", "type", F.round("score", 6).alias("score"))
 
 
-_GRAMS = "SELECT DISTINCT item_id, unnest(list_concat(string_split(lower(text), ''), list_transform(range(1, length(text)), lambda i: substr(lower(text), i, 2)))) AS gram FROM benchmark"
+_PAIRED = "list_concat(string_split(lower(text), ''), list_transform(range(1, length(text)), lambda i: substr(lower(text), i, 2)))"
+_GRAMS = f"SELECT DISTINCT doc_id, unnest({_PAIRED}) AS gram FROM documents WHERE text <> ''"
 
 
 @query(f"SELECT gram, count(*) AS df FROM ({_GRAMS}) GROUP BY gram")
 def bigram_index_df(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("body"))
-    return search.postings(rows, ["item_id"], [F.col("body")]).groupBy("gram").agg(F.count("*").alias("df"))
+    return search.document_frequencies(document_index(spark, sf))
 
 
-@query(f"SELECT item_id FROM ({_GRAMS}) WHERE gram IN ('th', 'ha', 'at') GROUP BY item_id HAVING count(DISTINCT gram) = 3")
+@query(f"SELECT doc_id FROM ({_GRAMS}) WHERE gram IN ('th', 'ha', 'at') GROUP BY doc_id HAVING count(DISTINCT gram) = 3")
 def index_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("body"))
-    return search.phrase_rows(search.postings(rows, ["item_id"], [F.col("body")]), ["item_id"], "that")
+    return search.phrase_rows(document_index(spark, sf), ["law_id", "no"], "that").select(F.col("no").cast("long").alias("doc_id"))
+
+
+def _holds(word: str) -> str:
+    return " AND ".join(f"contains({_B}, '{word[i : i + 2]}')" for i in range(len(word) - 1))
+
+
+@query(f"SELECT count(*) FILTER ({_holds('the')} AND ({_holds('bad')} OR {_holds('worthless')})) AS candidates, count(*) AS documents FROM documents")
+def index_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents the search has to read by the index, and how many there are."""
+    found = search.candidate_rows(document_index(spark, sf), ["law_id", "no"], asked())
+    return search.reach(documents(spark, sf), found, ["law_id", "no"])
 
 
 @query(f"""WITH h AS (SELECT law_id, row_number() OVER (ORDER BY score DESC, CAST(regexp_extract(law_id, '([0-9]+)', 1) AS INT), doc_id) AS rank FROM ({_RANKED})) SELECT law_id, min(rank) AS first_rank, count(*) AS n FROM h GROUP BY law_id""")
 def grouped_hits(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     hits = search.search(laws(spark, sf), documents(spark, sf), asked(), VOCABULARY)
-    order = Window.orderBy(F.desc(F.round("score", 6)), F.regexp_extract("law_id", r"(\d+)", 1).cast("int"), F.col("no").cast("long"))  # the hits of one query
-    return search.grouped_hits(hits.withColumn("rank", F.row_number().over(order).cast("long")), "law_id", "rank").select("law_id", "first_rank", "n")
+    ranks = search.ranked(hits, F.desc(F.round("score", 6)), F.regexp_extract("law_id", r"(\d+)", 1).cast("int"), F.col("no").cast("long"))
+    return search.grouped_hits(ranks, "law_id", "rank").select("law_id", "first_rank", "n")
 
 
-@query("SELECT item_id, len(list_distinct(list_concat(string_split(lower(text), ''), list_transform(range(1, length(text)), lambda i: substr(lower(text), i, 2))))) AS n FROM benchmark")
+@query(f"SELECT doc_id, len(list_distinct(CASE WHEN text = '' THEN [] ELSE {_PAIRED} END)) AS n FROM documents")
 def gram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.size(grams(F.lower("text"))).cast("long").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(grams(F.lower("text"))).cast("long").alias("n"))
+
+
+_BY_LAW = f"""SELECT d.doc_id, round(CASE WHEN r.region LIKE 'en%' THEN {relevance_sql(_B, [['the'], ['bad', 'worthless']])} ELSE {relevance_sql(_B, [['en'], ['the'], ['bad', 'worthless']])} END, 6) AS relevance
+FROM documents d JOIN (SELECT source, min(lang) AS region FROM documents GROUP BY source) r USING (source)"""
+
+
+@query(_BY_LAW)
+def relevance_by_law(spark: SparkSession, sf: str) -> DataFrame:
+    """A word that is the place of a law is no topic of its articles."""
+    heads = laws(spark, sf).select(F.col("id").alias("law_id"), "name_norm", "region_norm")
+    groups = search.topics(asked("en the bad"))
+    score = search.relevance(F.col("body_norm"), groups, search.topic_tests(groups, F.col("name_norm"), F.col("region_norm")))
+    return documents(spark, sf).join(heads, "law_id").select("doc_id", F.round(score, 6).alias("relevance"))
+
+
+_PAGES = f"SELECT source AS law_id, doc_id AS page, 'documents' AS type, 150.0::DOUBLE AS score, 'phrase' AS match FROM documents WHERE contains({_B}, 'the') AND (contains({_B}, 'bad') OR contains({_B}, 'worthless'))"
+
+
+@query(_PAGES)
+def document_page_search(spark: SparkSession, sf: str) -> DataFrame:
+    pages = documents(spark, sf).withColumn("page", F.col("doc_id"))
+    return search.search_documents(laws(spark, sf), pages, asked()).select("law_id", "page", "type", "score", "match")
 
 
 _TREE = "SELECT DISTINCT doc_id // 3 AS a, doc_id AS b FROM documents WHERE doc_id > 0"
