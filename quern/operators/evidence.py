@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numerals import address
 from quern.functions.text import normalize
+from quern.operators.joins import with_fallback
 
 #: Numerals that serial numbers are written with.
 SERIAL = "[0-9０-９一二三四五六七八九〇零○]{5,}號"
@@ -124,9 +125,65 @@ def archive_stats(rulings: DataFrame) -> DataFrame:
     return rulings.agg(F.count("*").alias("n"), F.count_if(F.size("refs") > 0).alias("with_refs"), F.sum(F.size("refs")).alias("n_refs"), F.sum(F.size("citations")).alias("n_citations"), F.count_distinct("number_key").alias("n_numbers"))
 
 
-def coverage_share(rows: DataFrame, missing: Column) -> DataFrame:
+def coverage_share(rows: DataFrame, missing: Column, *group: str) -> DataFrame:
     """How complete a result is: rows asked for, and rows that could not be read."""
-    return rows.agg(F.count("*").alias("candidates"), F.count_if(missing).alias("missing"))
+    return rows.groupBy(*group).agg(F.count("*").alias("candidates"), F.count_if(missing).alias("missing"))
+
+
+def search_fields(laws: DataFrame) -> DataFrame:
+    """The texts that a law is found by, normalised: id, fields (name, region, id and each keyword)."""
+    return laws.select("id", F.concat(F.array(normalize("name"), normalize("region"), normalize("id")), F.transform(F.split(normalize(F.array_join("keywords", "|")), "[|]"), lambda k: k)).alias("fields")).select("id", F.filter("fields", lambda f: f != "").alias("fields"))
+
+
+def enriched_laws(laws: DataFrame, ledger: DataFrame, sources: DataFrame) -> DataFrame:
+    """Laws with their version: content hash of what counts, the one before, when it was observed, and their source's hash.
+
+    ``ledger``: id, content_hash, previous_hash, observed_at; ``sources``: key, sha256. A law
+    without a source of its own takes that of its bulk file (bulk_key).
+    """
+    keep = [c for c in canonical(laws).columns if c != "bulk_key"]
+    rows = laws.withColumn("content_hash", F.sha2(F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}), 256))
+    rows = with_fallback(rows, sources, "id", "bulk_key", "key", "sha256").withColumnRenamed("sha256", "source_hash")
+    told = ledger.select("id", F.col("content_hash").alias("quern_hash"), "previous_hash", "observed_at")
+    same = F.col("content_hash") == F.col("quern_hash")
+    rows = rows.join(told, "id", "left").withColumn("previous_hash", F.when(same, F.col("previous_hash")).otherwise(F.col("quern_hash")))
+    return rows.withColumn("observed_at", F.when(same, F.col("observed_at"))).drop("quern_hash")
+
+
+def current_texts(saved: DataFrame, articles: DataFrame, units: DataFrame, rulings: DataFrame, pages: DataFrame) -> DataFrame:
+    """The current text behind saved evidence, by what kind of place it names: id, content_hash, source_hash.
+
+    ``saved``: id, kind, law, article, unit, ruling, page; ``articles``: law_id, no, text,
+    source_hash; ``units``: unit_id, quote; ``rulings``: id, body; ``pages``: law_id, page, text, source_hash.
+    """
+    none = F.lit(None).cast("string")
+    a = saved.where("kind = 'article' and unit is null").select("id", F.col("law").alias("law_id"), F.col("article").alias("no")).join(articles, ["law_id", "no"]).select("id", F.col("text").alias("quote"), "source_hash")
+    u = saved.where("kind = 'article' and unit is not null").select("id", F.col("unit").alias("unit_id"), F.col("law").alias("law_id")).join(units.select("unit_id", "quote"), "unit_id").join(articles.select("law_id", "source_hash").distinct(), "law_id", "left").select("id", "quote", "source_hash")
+    r = saved.where("kind = 'ruling'").select("id", F.col("ruling").alias("rid")).join(rulings.select(F.col("id").alias("rid"), "body"), "rid").select("id", F.col("body").alias("quote"), none.alias("source_hash"))
+    p = saved.where("kind = 'document'").select("id", F.col("law").alias("law_id"), "page").join(pages, ["law_id", "page"]).select("id", F.col("text").alias("quote"), "source_hash")
+    return a.unionByName(u).unionByName(r).unionByName(p).select("id", F.sha2("quote", 256).alias("content_hash"), "source_hash")
+
+
+def unexplained_gaps(found: DataFrame, headings: DataFrame, key: str) -> DataFrame:
+    """Gaps (key, gap) between parsed parts that are no heading of their text (``headings(key, heading)``), white space apart."""
+    rows = found.withColumn("quern_gap", F.regexp_replace("gap", r"\s+", "")).where("quern_gap <> ''")
+    known = headings.select(key, F.regexp_replace("heading", r"\s+", "").alias("quern_gap"))
+    return rows.join(known, [key, "quern_gap"], "left_anti").drop("quern_gap")
+
+
+def in_order(texts: DataFrame, parts: DataFrame, key: str, text: str, part: str, order: str) -> DataFrame:
+    """Whether a text holds its parts one after the other, white space apart, and how much of it lies outside them: key, complete, outside."""
+    squash = lambda c: F.regexp_replace(c, r"\s+", "")
+    own = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, squash(F.col(part)).alias("p")))), lambda s: s["p"]).alias("parts"))  # of one text
+    rows = texts.select(key, squash(F.col(text)).alias("t")).join(own, key)
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("held"), F.lit(True).alias("ok"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = F.call_function("locate", p, F.col("t"), acc["at"])
+        return F.struct((at + F.length(p)).alias("at"), (acc["held"] + F.length(p)).alias("held"), (acc["ok"] & (at > 0)).alias("ok"))
+
+    walked = F.aggregate("parts", start, step)
+    return rows.select(key, walked.alias("w"), F.length("t").alias("n")).select(key, F.col("w.ok").alias("complete"), F.when(F.col("w.ok"), F.col("n") - F.col("w.held")).alias("outside"))
 
 
 def units_by_id(articles: DataFrame, units: DataFrame, ids: Sequence[str]) -> DataFrame:

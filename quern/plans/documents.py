@@ -150,7 +150,7 @@ def equal_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS candidates, count(*) FILTER (value > 40) AS missing FROM events GROUP BY event_type")
 def incomplete_results(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.pivot_counts(table(spark, sf, "events"), "event_type", [("missing", F.col("value") > 40)]).withColumnRenamed("n", "candidates")
+    return evidence.coverage_share(table(spark, sf, "events"), F.col("value") > 40, "event_type")
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), n AS (SELECT DISTINCT lower(p_type) AS word FROM part UNION SELECT 'the') SELECT doc_id, word FROM w JOIN n USING (word)""")

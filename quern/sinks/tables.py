@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import html_escape
 from quern.operators.changes import to_append
 
 
@@ -46,6 +47,22 @@ def unused_files(files: DataFrame, kept: DataFrame) -> DataFrame:
     return files.select("url").distinct().join(kept.select("url"), "url", "left_anti")
 
 
+def write_by(df: DataFrame, path: str, key: str) -> None:
+    """A table that is looked up by one key: a folder for each value."""
+    df.hint("rebalance", key).write.partitionBy(key).mode("overwrite").parquet(path)
+
+
+def read_by(spark: SparkSession, path: str, key: str, value) -> DataFrame:
+    """Rows of one key of a table that ``write_by`` wrote; other folders are not read, and none is an empty result."""
+    return spark.read.parquet(path).where(F.col(key) == value)
+
+
+def from_buckets(records: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Records (with bucket) that are asked for by id; both sides have the bucket, so that only its folders are read."""
+    wanted = ids.select(key, range_bucket(F.col(key).cast("long")).alias("bucket"))
+    return records.join(wanted, [key, "bucket"], "left_semi")
+
+
 def range_bucket(number: Column, size: int = 256) -> Column:
     """Bucket of a numeric id, by which point lookups read one folder."""
     return F.floor(number / size).cast("long")
@@ -58,6 +75,15 @@ def markdown(entries: DataFrame) -> DataFrame:
     return parts.select("folder_id", F.concat(F.lit("# "), "folder", F.lit("\n\n"), F.array_join(F.transform("lines", lambda s: s["line"]), "\n\n")).alias("markdown"))
 
 
+def casebook_html(entries: DataFrame) -> DataFrame:
+    """One HTML page a folder, every text escaped."""
+    e = html_escape
+    part = F.concat(F.lit("<section><h2>"), e(F.col("title")), F.lit("</h2><blockquote>"), e(F.col("quote")), F.lit("</blockquote>"), F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("<p>"), e(F.col("note")), F.lit("</p>"))).otherwise(""), F.lit("</section>"))
+    parts = entries.groupBy("folder_id", "folder").agg(F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))).alias("parts"))
+    body = F.array_join(F.transform("parts", lambda s: s["part"]), "")
+    return parts.select("folder_id", F.concat(F.lit('<!doctype html><meta charset="utf-8"><title>'), e(F.col("folder")), F.lit("</title><h1>"), e(F.col("folder")), F.lit("</h1>"), body).alias("html"))
+
+
 def casebook_json(entries: DataFrame) -> DataFrame:
     """One JSON object a folder."""
     e = F.struct("ord", "id", "title", "quote", "contentHash", "note")

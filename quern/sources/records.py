@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.windows import heading_stack
+
 #: The feed's element names; it misspells that of an article's text, other copies of it don't.
 LAW_XML = (
     "LawLevel string, LawName string, LawURL string, LawCategory string, LawModifiedDate string, LawEffectiveDate string, LawAbandonNote string, LawForeword string, "
-    "LawArticles struct<Article: array<struct<ArticleType string, ArticleNo string, ArticleConctent string, ArticleContent string>>>, _corrupt_record string"
+    "LawArticles struct<Article: array<struct<ArticleType string, ArticleNo string, ArticleConctent string, ArticleContent string>>>, "
+    "LawAttachements struct<File: array<struct<FileName string, FileURL string>>>, _corrupt_record string"
 )
 
 
@@ -32,6 +35,55 @@ def xml_articles(laws: DataFrame, key: str = "LawName") -> DataFrame:
     return laws.select(key, F.posexplode("LawArticles.Article").alias("ord", "a")).select(key, "ord", F.col("a.ArticleType").alias("type"), F.col("a.ArticleNo").alias("no"), F.coalesce("a.ArticleConctent", "a.ArticleContent").alias("text"))
 
 
+#: Types of elements between articles, and the levels of headings, highest first.
+HEADING_TYPE, ARTICLE_TYPE, LEVELS = "C", "A", "編章節款目"
+
+
+def xml_law_texts(laws: DataFrame, key: str = "LawName") -> DataFrame:
+    """Articles with the headings above them: key, ord, no, text, path."""
+    rows = xml_articles(laws, key)
+    label = F.trim(F.regexp_replace("text", r"\s+", " "))
+    mark = F.regexp_extract(label, f"([{LEVELS}])", 1)
+    level = F.when(F.col("type") == HEADING_TYPE, F.when(mark == "", 2).otherwise(F.instr(F.lit(LEVELS), mark)))
+    stacked = heading_stack(rows.select("*", level.alias("level"), label.alias("label")), [key], ["ord"], "level", "label", len(LEVELS))
+    path = F.array_compact(F.array(*[F.col(f"h{k}") for k in range(1, len(LEVELS) + 1)]))
+    return stacked.where(F.col("type") == ARTICLE_TYPE).select(key, "ord", F.trim(F.regexp_replace("no", r"\s+", " ")).alias("no"), F.trim("text").alias("text"), path.alias("path"))
+
+
+def xml_attachments(laws: DataFrame, key: str = "LawName") -> DataFrame:
+    """Files that come with a law: key, title, url."""
+    return laws.select(key, F.explode("LawAttachements.File").alias("f")).select(key, F.coalesce(F.nullif("f.FileName", F.lit("")), F.lit("附件")).alias("title"), F.col("f.FileURL").alias("url"))
+
+
+def current_laws(laws: DataFrame, wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Laws of the feed to take in: in force, with a code in their address, named in ``wanted(name)``, not in ``present(id)``; code is added."""
+    rows = laws.withColumn("code", F.coalesce(F.try_parse_url("LawURL", F.lit("QUERY"), F.lit("pcode")), F.lit("")))
+    rows = rows.where((F.coalesce(F.trim("LawAbandonNote"), F.lit("")) == "") & (F.col("code") != ""))
+    return rows.join(wanted.select(F.col("name").alias("LawName")), "LawName", "left_semi").join(present.select(F.col("id").alias("code")), "code", "left_anti")
+
+
+def verified_shards(spark: SparkSession, folder: str, manifest: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(file, data) of JSON files whose SHA-256 is the one in ``manifest(file, sha256)``, and (file, reason) of what is missing or different."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    both = manifest.select("file", "sha256").join(files, "file", "left").withColumn("same", F.sha2("content", 256) == F.col("sha256"))
+    good = both.where("same").select("file", F.from_json(F.col("content").cast("string"), schema, {"mode": "FAILFAST"}).alias("data"))
+    return good, both.where("not coalesce(same, false)").select("file", F.when(F.col("content").isNull(), "missing").otherwise("different").alias("reason"))
+
+
+def page_range(pages: DataFrame, key: str, first: str, last: str) -> DataFrame:
+    """The texts of pages first..last of each key as one: key, text. ``pages``: key, page, text, first, last."""
+    inside = pages.where(F.col("page").between(F.col(first), F.col(last)))
+    return inside.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
+
+
+def guarded(items: DataFrame, sources: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
+    """Items whose source is known and has the digest they were made from; and the others with the reason."""
+    now = sources.select(key, F.col(digest).alias("quern_now"), F.lit(True).alias("quern_known"))
+    reason = F.when(F.col("quern_known").isNull(), "unknown-source").when(~F.col(digest).eqNullSafe(F.col("quern_now")), "source-changed")
+    rows = items.join(now, key, "left").withColumn("reason", reason).drop("quern_now", "quern_known")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
 def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """Members of ZIP archives: path, member, content, sha256. One archive is held by one task at a time."""
 

@@ -139,10 +139,10 @@ def test_watch_and_evidence(spark):
 
 
 def test_xml_with_a_bad_record(spark, tmp_path):
-    good = "<Law><LawName>建築法</LawName><LawArticles><Article><ArticleType>A</ArticleType><ArticleNo>第 1 條</ArticleNo><ArticleContent>文</ArticleContent></Article></LawArticles></Law>"
+    good = "<Law><LawName>建築法</LawName><LawArticles><Article><ArticleType>A</ArticleType><ArticleNo>第 1 條</ArticleNo><ArticleConctent>文</ArticleConctent></Article><Article><ArticleType>A</ArticleType><ArticleNo>第 2 條</ArticleNo><ArticleContent>字</ArticleContent></Article></LawArticles></Law>"
     (tmp_path / "a.xml").write_text(f"<Laws>{good}<Law><LawArticles/></Law></Laws>")
     laws, bad = records.xml_laws(spark, str(tmp_path / "a.xml"))
-    assert [r.text for r in records.xml_articles(laws).collect()] == ["文"] and bad.count() == 1
+    assert [r.text for r in records.xml_articles(laws).collect()] == ["文", "字"] and bad.count() == 1
 
 
 def test_html(spark):
