@@ -123,23 +123,29 @@ def fit(sample: Sample, dim: int = 8, epochs: int = 20, batch: int = 256, rate:
     energy = np.bincount(rows, weights**2, BUCKETS)
     scale = (rate / (energy + ridge * np.median(weights) ** 2) * len(y)).astype(np.float32)
     share = np.array([0.5 / max(1, (y == k).sum()) for k in (0, 1)], np.float32)[y] * len(y)
-    for epoch in range(epochs):
-        decay, order = 1 - epoch / epochs, rng.permutation(len(y))
-        for lo in range(0, len(y), batch):
-            docs = order[lo : lo + batch]
+    batches, order = [], rng.permutation(len(y))
+    for lo in range(0, len(y), batch):  # the same texts meet in every round, so each batch is sorted by row once
+        docs = np.sort(order[lo : lo + batch])
+        docs = docs[bounds[docs + 1] > bounds[docs]]
+        if docs.size:
             take = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
-            local = np.repeat(np.arange(docs.size), bounds[docs + 1] - bounds[docs])
-            r, w = rows[take], weights[take]
-            e = emb[r]
-            hidden = np.stack([np.bincount(local, e[:, k] * w, docs.size) for k in range(dim)], 1).astype(np.float32)
+            r, by_row = rows[take], np.argsort(rows[take], kind="stable").astype(np.int32)
+            touched, first = np.unique(r[by_row], return_index=True)
+            size = bounds[docs + 1] - bounds[docs]
+            batches.append((docs, r, weights[take], np.cumsum(size) - size, np.repeat(np.arange(docs.size, dtype=np.int32), size)[by_row], weights[take][by_row], touched, first))
+    del rows, weights
+    for epoch in range(epochs):
+        decay = 1 - epoch / epochs
+        for b in rng.permutation(len(batches)):
+            docs, r, w, begins, owner, w_by_row, touched, first = batches[b]
+            hidden = np.add.reduceat(emb[r] * w[:, None], begins)
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(docs.size), y[docs]] -= 1
             p *= share[docs, None] / docs.size
-            back = (p @ soft.T)[local] * w[:, None]
-            for k in range(dim):
-                emb[:, k] -= decay * scale * np.bincount(r, back[:, k], BUCKETS).astype(np.float32)
+            back = np.add.reduceat((p @ soft.T)[owner] * w_by_row[:, None], first)
+            emb[touched] -= decay * scale[touched, None] * back
             soft -= 0.05 * hidden.T @ p
             bias -= 0.05 * p.sum(0)
     diff = (soft[:, 1] - soft[:, 0]) * SCALE
