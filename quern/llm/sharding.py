@@ -3,8 +3,10 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side and a
 hot group of copies can still be cut. Each round counts the bytes and rows below a set
 of probe keys in every partition and narrows the interval that holds each wanted cut;
-it ends when the bytes below a cut are within tolerance or no row lies between. Shards
-are split further into runs of ``run_bytes``, so that no task sorts a whole shard.
+it ends when the bytes below a cut are within tolerance or no row lies between. Only the
+cuts between shards are sought on the driver, however large the data; the one exchange
+then splits shards into ranges of about ``run_bytes``, so that no task sorts a whole
+shard, and slots go on from the rows of the ranges before.
 
 A null text counts no bytes besides the row's fixed cost, and a null doc_id sorts first.
 Rows equal in text and doc_id stay together. An empty table gives an empty result.
@@ -23,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.store import pick, written
+from quern.llm.store import drop_folder, if_small, pick, written
 
 LOW, HIGH = -(2**63), 2**63 - 1
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
 #: Probes of one round at most.
 PROBES = 65536
+#: Spark's row ids number the rows of a partition in so many bits; the partition's number stands above.
+ID_BITS = 33
+#: Ranges up to which their rows are sent to all executors (20 bytes each).
+BROADCAST_RANGES = 200_000
 
 
 def below_index(h: np.ndarray, d: np.ndarray, ph: np.ndarray, pd_: np.ndarray) -> np.ndarray:
@@ -102,7 +108,7 @@ def cuts(keys: DataFrame, targets: list[tuple[float, float]], total: int, rows:
     """Keys at which the bytes below come nearest to each (target, slack)."""
     found = [Cut(t, s, (LOW, LOW), (HIGH, HIGH), 0, total, 0, rows) for t, s in targets]
     while todo := [c for c in found if c.key is None]:
-        probes = sorted({p for c in todo for p in c.probes(max(3, min(63, PROBES // len(todo))))})
+        probes = sorted({p for c in todo for p in c.probes(max(1, min(63, PROBES // len(todo))))})
         size, n = histogram(keys, np.array([p[0] for p in probes]), np.array([p[1] for p in probes]))
         for c in todo:
             c.narrow(probes, size, n)
@@ -115,25 +121,27 @@ def sharded(docs: DataFrame, shards: int = 24, run_bytes: int = 64 << 20, tolera
     Returned: doc_id, text, size (long), shard (int) and slot (long, gapless from 0 in a
     shard, in key order).
     """
-    spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(
         "doc_id", "text", F.xxhash64("text").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size")
     )
     keys = written(rows.select("h", "d", "size"), "keys")
     total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    runs = max(1, -(-total // (shards * run_bytes)))  # of each shard
     share = total / shards
-    targets = [(total * i / (shards * runs), share * (tolerance if i % runs == 0 else 0.05 / runs)) for i in range(1, shards * runs)]
-    edges = cuts(keys, targets, total, n) if n else []
+    edges = cuts(keys, [(share * i, share * tolerance) for i in range(1, shards)], total, n) if n else []
+    drop_folder(keys)
     ph, pd_ = np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)
-    before = [0, *(histogram(keys, ph, pd_)[1].tolist() if n else [0] * len(edges))]
-    first = [before[i - i % runs] if i < len(before) else n for i in range(shards * runs)]
-    bases = spark.createDataFrame([(i, i // runs, b - f) for i, (b, f) in enumerate(zip(before, first, strict=False))], "run int, shard int, base long")
 
     @F.pandas_udf("int")
-    def run_of(h: pd.Series, d: pd.Series) -> pd.Series:
+    def shard_of(h: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(below_index(h.to_numpy(), d.to_numpy(), ph, pd_))
 
-    order = Window.partitionBy("run").orderBy("h", "d", "text")
-    placed = rows.withColumn("run", run_of("h", "d")).repartitionById(shards * runs, "run").withColumn("at", F.row_number().over(order) - 1)
-    return placed.join(F.broadcast(bases), "run").select("doc_id", "text", "size", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))
+    # one exchange: ranges of the key inside shards, each of about run_bytes; a row's number in its range is in its id
+    order = ["shard", "h", "d", "text"]
+    ranges = rows.withColumn("shard", shard_of("h", "d")).repartitionByRange(max(shards, -(-total // run_bytes)), "shard", "h", "d").sortWithinPartitions(*order)
+    placed = written(ranges.select("doc_id", "text", "size", "shard", F.monotonically_increasing_id().alias("id")), "ranges")
+    placed = placed.withColumn("part", F.shiftright("id", ID_BITS)).withColumn("at", F.col("id") % (1 << ID_BITS))
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = counts.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    found = placed.join(if_small(written(bases, "bases"), BROADCAST_RANGES), ["shard", "part"])
+    return found.select("doc_id", "text", "size", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))
