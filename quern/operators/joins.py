@@ -153,12 +153,19 @@ def expanded_ranges(ranges: DataFrame, members: DataFrame, key: str, start: str,
 
 
 def without_overlap(spans: DataFrame, blocked: DataFrame, key: Sequence[str], start: str, end: str) -> DataFrame:
-    """Spans that overlap none of ``blocked`` (same key)."""
-    left, right = spans.alias("s"), blocked.alias("b")
-    on = (F.col(f"s.{start}") < F.col(f"b.{end}")) & (F.col(f"s.{end}") > F.col(f"b.{start}"))
+    """Spans that overlap none of ``blocked`` (same key): one sort by key, no pairs.
+
+    Of the blocked spans that begin before a span ends, the one that reaches farthest decides.
+    A null key is in no other span's way.
+    """
+    a = spans.select("*", F.col(end).alias("quern_at"), F.lit(0).alias("quern_side"))
+    b = blocked.select(*key, F.col(start).alias("quern_at"), F.col(end).alias("quern_reach"), F.lit(1).alias("quern_side"))
+    w = Window.partitionBy(*key).orderBy("quern_at", "quern_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("quern_reach", F.max("quern_reach").over(w)).where("quern_side = 0")
+    known = F.lit(True)
     for k in key:
-        on = on & (F.col(f"s.{k}") == F.col(f"b.{k}"))
-    return left.join(right, on, "left_anti")
+        known = known & F.col(k).isNotNull()
+    return both.where(~known | F.col("quern_reach").isNull() | (F.col("quern_reach") <= F.col(start))).select(*spans.columns)
 
 
 def greedy_disjoint(spans: Column) -> Column:

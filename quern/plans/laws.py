@@ -690,6 +690,24 @@ def topics_by_law(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "law_id string, no string, place int")
 
 
+@query(with_tables("SELECT law_id, no, CAST(CASE WHEN contains(text, '防火設施') THEN 2 WHEN contains(text, '防火') AND contains(text, '設施') THEN 1 ELSE 0 END AS INT) AS score FROM articles", "articles"))
+def partial_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A term made of known words: 1 where only its words occur."""
+    term = compile_query("防火設施", VOCABULARY).terms[0]
+    return fixture(spark, "articles").select("law_id", "no", search.term_score(term, [F.col("text")]).alias("score"))
+
+
+DEFINES = ["建築物:指定著於土地之構造物。", "本法所稱,建築物及構造物。", "附表;構造物,係指建築物之部分。建築物", "無關"]
+_ONE = "(CASE WHEN strpos(t, '建築物') > 0 THEN 15 + 10 * (n / (n + 1.2 * (0.25 + 0.75 * length(t) / 400))) + lead + def ELSE 0 END)"
+
+
+@query(f"""SELECT t, round(34 * (1 - exp(-{_ONE} / 40)), 6) AS relevance FROM (SELECT t, (length(t) - length(replace(t, '建築物', ''))) / 3 AS n, lead, def FROM (VALUES {', '.join(f"('{t}', {lead}, {d})" for t, lead, d in zip(DEFINES, ("30.0", "15 * (1 - 5 / 90.0)", "15 * (1 - 9 / 90.0)", "0.0"), ("100.0", "0.0", "0.0", "0.0"), strict=True))}) v(t, lead, def))""")
+def defined_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """A text that defines the word counts more than one that mentions it, even in another word's definition."""
+    rows = spark.createDataFrame([(t,) for t in DEFINES], "t string")
+    return rows.select("t", F.round(search.relevance(F.col("t"), [["建築物"]]), 6).alias("relevance"))
+
+
 PAGE_HITS = [("F", 1, 150.0, "phrase", "防 火 門之檢查"), ("F", 3, 150.0, "phrase", "ＦＩＲＥ 門 及防火門設備之維護與檢查")]
 
 
