@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
+from quern.llm.memory import lean, release
 from quern.llm.store import by_place, finished, if_small, pick, written
 
 K = 64
@@ -53,6 +54,8 @@ BLOCK = 512
 WITHIN = 2
 #: Rows to drop up to which they are sent to all executors (about 50 bytes each); beyond it Spark's join shuffles.
 BROADCAST_ROWS = 200_000
+#: Pairs of whole sets in one batch after which a worker gives back memory.
+MANY = 1000
 #: Words whose hash a worker keeps before it starts anew.
 CACHED = 200_000
 
@@ -106,6 +109,7 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+@lean
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(n)
     for batch in batches:
@@ -116,6 +120,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch"])
 
 
+@lean
 def _full(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(n)
     for batch in batches:
@@ -158,7 +163,8 @@ def union_filter(pairs: DataFrame, nodes: DataFrame, k: int, threshold: float) -
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """(node, set): the whole sets of the ``wanted`` nodes, made again from the texts of documents that hold them."""
     known = written(wanted.select("node").distinct().join(nodes.select("node", "key", "rep"), "node"), "wanted")
-    texts = docs.join(known.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    reps = if_small(written(known.select("rep").distinct(), "reps"), BROADCAST_ROWS)
+    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = texts.mapInArrow(functools.partial(_full, n=n), "key binary, set binary").dropDuplicates(["key"])
     return written(sets.join(known.select("node", "key"), "key").select("node", "set"), "sets")
 
@@ -175,6 +181,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, thres
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.intersect1d(x, y, assume_unique=True).size
             out.append(reaches(both, x.size + y.size - both, threshold))
+        if len(out) >= MANY:
+            release()
         return pd.Series(out, dtype=bool)
 
     rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")

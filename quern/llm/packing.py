@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.memory import lean
 from quern.llm.store import pick, written
 from quern.llm.tokens import encoder
 
@@ -41,6 +42,7 @@ DENSE_SHARE, DENSE_CELLS = 8, 4 << 20
 _PIECE = "doc_tokens long, start long, length long, ids binary, sequence_id long, offset long"
 
 
+@lean
 def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(tokenizer)
     for batch in batches:
@@ -54,6 +56,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
             at += rows
 
 
+@lean
 def _frequencies(batches: Iterator[pa.RecordBatch], dtype: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
     df = np.zeros(vocabulary, np.int64)
     for batch in batches:
@@ -67,6 +70,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], dtype: str, vocabulary: int)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["token", "df"])
 
 
+@lean
 def _windows(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     """Each whole window of a document as a sequence of its own; these have negative numbers."""
     number = -1 - (TaskContext.get().partitionId() << 32)
@@ -88,6 +92,7 @@ def as_batch(rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+@lean
 def _telling(batches: Iterator[pa.RecordBatch], dtype: str, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Adds the two tokens with the least draws, drawn so that rare tokens tend to win."""
     draw = np.random.default_rng(11).exponential(size=idf.size) / np.maximum(idf, 1e-3)
@@ -233,6 +238,7 @@ def at_powers(parts: list[tuple[int, int, int]], total: int) -> Iterator[list[tu
         yield made
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch], dtype: str, idf: np.ndarray, mean: float) -> Iterator[pa.RecordBatch]:
     rows, id_type = [], pa.int64()
     for batch in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.labelled import Sample
+from quern.llm.memory import release
 from quern.llm.store import by_place
 
 #: Bytes compressed at once.
@@ -124,5 +125,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
         compressors = Compressors(sent.value.good, sent.value.bad)
         for texts in batches:
             yield pd.Series(scores(sent.value, compressors, texts.tolist()))
+        release()
 
     return plain.withColumn(out, score(name)).toDF(*docs.columns, out)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.memory import lean
 from quern.llm.store import by_place, pick
 
 #: Kinds in the order in which spans that begin together are listed.
@@ -90,6 +91,7 @@ def spans(text: str | None, words: ahocorasick.Automaton) -> list[tuple[int, int
     return sorted(out)
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = automaton()
     for batch in batches:

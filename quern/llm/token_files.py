@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.memory import lean
 from quern.llm.store import new_folder, pick
 from quern.llm.tokens import encoder
 
@@ -125,6 +126,7 @@ def _save(folder: str, content: bytes) -> str:
     return name
 
 
+@lean
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
     """Write this partition's files; a row for each: its name, place, documents and tokens."""
     enc, doc_ids, lengths, ids, saved = encoder(tokenizer), [], [], [], []
@@ -168,6 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     return folder
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.labelled import Sample
+from quern.llm.memory import release
 from quern.llm.store import by_place
 
 WORD = re.compile(r"[^\W_]+")
@@ -187,5 +188,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
         scorer = Scorer(sent.value)
         for texts in batches:
             yield pd.Series(scorer.scores(texts.tolist()))
+        release()
 
     return plain.withColumn(out, score(name)).toDF(*docs.columns, out)
