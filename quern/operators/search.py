@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Callable
@@ -186,6 +187,12 @@ def recent_rulings_first(rulings: DataFrame, score: str = "score") -> DataFrame:
     return rulings.orderBy(F.desc(score), F.desc(day), "ord")
 
 
+@functools.lru_cache(maxsize=65536)
+def normal_length(char: str) -> int:
+    """Characters that one character becomes in the normal form."""
+    return len(normalize_text(char))
+
+
 def page_excerpts(text: Column, at: Column, size: int = 220, before: int = 25) -> Column:
     """``size`` characters of a page from a little before the place ``at`` of its normalised text, white space run together.
 
@@ -197,7 +204,7 @@ def page_excerpts(text: Column, at: Column, size: int = 220, before: int = 25) -
         def one(t: str | None, place: int) -> str | None:
             if t is None:
                 return None
-            reached = itertools.accumulate((len(normalize_text(c)) for c in t), initial=0)
+            reached = itertools.accumulate(map(normal_length, t), initial=0)
             first = next((i for i, n in enumerate(reached) if n >= place), len(t))
             start = max(0, first - before)
             return f"{'…' if start else ''}{re.sub(r'\s+', ' ', t[start : start + size])}{'…' if len(t) > start + size else ''}"
