@@ -9,6 +9,7 @@ from quern.functions.chains import NAMED_ENDINGS
 from quern.functions.numerals import NUMERAL, chinese_number
 from quern.functions.text import DASHES, cleaned, normalize_text
 
+#: How article numbers are written in queries, and what may stand before a bare one.
 _POSTFIXED = re.compile(rf"({NUMERAL})\s*條之\s*({NUMERAL})")
 _EXPLICIT = re.compile(rf"第\s*({NUMERAL})(?:\s*(?:之|-)\s*({NUMERAL}))?\s*(?P<unit>[條點])(?:\s*之\s*({NUMERAL}))?")
 _SECTION = re.compile(r"§\s*(\d{1,4})(?:-(\d+))?")

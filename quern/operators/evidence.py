@@ -79,6 +79,23 @@ def sectioned_lines(lines: DataFrame, key: str, order: Sequence[str], text: str,
     return lines.withColumn("heading", F.last(F.when(is_head, F.col(text)), ignorenulls=True).over(w)).withColumn("section", F.count_if(is_head).over(w))
 
 
+def joined_paragraphs(lines: DataFrame, key: str, order: str, text: str, heading: str, ends: str = "[。；：:;!?]$") -> DataFrame:
+    """Paragraphs that lines make up, across page breaks too: key, at (order of the first line), heading (of the section), text.
+
+    A line begins a paragraph if it is a heading, follows one, or follows a line that ends
+    a sentence; headings are paragraphs of their own.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    is_head = F.col(text).rlike(heading)
+    before = F.lag(text).over(w)
+    begins = F.when(is_head | before.isNull() | before.rlike(ends) | before.rlike(heading), 1).otherwise(0)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumn("quern_begins", begins).withColumn("quern_heading", F.last(F.when(is_head, F.col(text)), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("quern_n", F.sum("quern_begins").over(so_far))
+    parts = rows.groupBy(key, "quern_n").agg(F.min(order).alias("at"), F.first("quern_heading").alias("heading"), F.array_sort(F.collect_list(F.struct(order, text))).alias("parts"))
+    return parts.select(key, "at", "heading", F.array_join(F.transform("parts", lambda p: p[text]), "").alias("text"))
+
+
 def section_of(pages: DataFrame, sections: DataFrame, key: str) -> DataFrame:
     """Each page with the section (start_page..end_page) that holds it, or the key's first section."""
     first = sections.groupBy(key).agg(F.min_by("section_id", "start_page").alias("first_section"))

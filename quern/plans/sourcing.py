@@ -220,6 +220,24 @@ def parts_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.in_order(docs, parts, "doc_id", "text", "part", "ord")
 
 
+@query(with_tables("SELECT 'catalog' AS name, count(*) AS n FROM laws UNION ALL SELECT 'targets', count(*) FROM articles WHERE text <> '' UNION ALL SELECT 'context', 1", "laws", "articles"))
+def runtime_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue without texts, the units that can be cited, and what short names mean where another law says it."""
+    laws, articles = laws_and_articles(spark)
+    context = evidence.outside_only(citing.citation_context(articles, laws))
+    catalog = reports.slim_catalog(fixture(spark, "laws"), fixture(spark, "articles"))
+    return tables.write_runtime(new_folder(spark, "runtime"), catalog=catalog, targets=citing.unit_counts(citing.article_units(articles)), context=context)
+
+
+LINES = [(1, "第一章 總則"), (2, "本手冊說明"), (3, "防火門。"), (4, "第二句"), (5, "未完"), (6, "第二章 檢查"), (7, "每年一次。")]
+
+
+@query(values("at int, heading string, text string", [(1, "第一章 總則", "第一章 總則"), (2, "第一章 總則", "本手冊說明防火門。"), (4, "第一章 總則", "第二句未完"), (6, "第二章 檢查", "第二章 檢查"), (7, "第二章 檢查", "每年一次。")]))
+def paragraphs_of_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("d", at, t) for at, t in LINES], "doc string, line int, text string")
+    return evidence.joined_paragraphs(rows, "doc", "line", "text", "^第[一二三]章").select("at", "heading", "text")
+
+
 @query(with_tables("SELECT ruling, law, count(*) AS n FROM (SELECT DISTINCT ruling, law FROM referred) GROUP BY ruling, law", "referred"))
 def referred_laws(spark: SparkSession, sf: str) -> DataFrame:
     refs = fixture(spark, "referred")

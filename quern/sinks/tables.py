@@ -63,6 +63,17 @@ def from_buckets(records: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return records.join(wanted, [key, "bucket"], "left_semi")
 
 
+def write_runtime(path: str, **named: DataFrame) -> DataFrame:
+    """Small tables that a reader loads first (catalogue, citation targets, context) under one path, and what was written: name, n."""
+    spark, out = None, None
+    for name, df in named.items():
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        one = spark.read.schema(df.schema).parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def range_bucket(number: Column, size: int = 256) -> Column:
     """Bucket of a numeric id, by which point lookups read one folder."""
     return F.floor(number / size).cast("long")
