@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near duplicates, benchmark items, secrets, packing.
 
 Each stage works on all rows that the one before it kept. The first four return the
-columns of ``documents``; the last returns the packed pieces.
+columns of ``documents``, whatever other columns there are and however alike their names
+(``text`` and ``TEXT``); the last returns the packed pieces. Null ids and ids of several
+rows are allowed everywhere; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,13 +19,23 @@ from quern.llm.store import by_place, written
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.3
+#: Rows of one batch between Spark and Python: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 2500
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the compression classifier doesn't reject.
 
-    Labels with fewer than two texts of one class fit no classifier; it then rejects none.
+    Null and empty texts score the share of good labels, so they stay where good labels are
+    not rare. Repeated rows and texts score alike, each for itself; a text of any length is
+    read whole. Labels with fewer than two texts of one class (an empty table too) fit no
+    classifier; it then rejects none.
     """
+    bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(sampled(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, PER_LABEL, MAX_CHARS))
     if not model.weights:
@@ -33,22 +45,33 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by five-word shingles at 0.8 or more."""
+    """Keep one document of each group linked by five-word shingles at 0.8 or more.
+
+    It is one with the smallest id (null is the largest); rows that repeat id and text are
+    one. Null, empty and blank texts are in no group and stay.
+    """
+    bounded(spark)
     return near_dedup.one_of_each(docs, n=5, threshold=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove documents that hold a benchmark item."""
+    """Remove documents that hold a benchmark item, whatever its id; each row is judged by its own text.
+
+    Null, empty and blank texts hold nothing; such items, and an empty benchmark, are found nowhere.
+    """
+    bounded(spark)
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays."""
+    """Replace secrets in the texts; every row stays, null and empty texts as they are. ``n_chars``, if there is one, is counted anew."""
+    bounded(spark)
     return secrets.redact(docs)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into training sequences."""
+    """Pack all documents into training sequences; null and empty texts have the end id alone, repeated rows are packed each."""
+    bounded(spark)
     return packing.packed(docs, public_tokenizers.path(TOKENIZER), end_id=1)
 
 
