@@ -192,9 +192,9 @@ def test_drawn_tables():
 
     assert cells_of(TABLE) == [(0, 0, 1, 1, "甲"), (0, 1, 1, 1, "乙乙"), (1, 0, 1, 1, "丙\n  "), (1, 1, 1, 1, "丁  \n戊  ")]
     assert cells_of("┌─┬─┐\n│甲│乙│\n└─┴─┘") == [(0, 0, 1, 1, "甲"), (0, 1, 1, 1, "乙")]
-    joined = "┌──┬──┐\n│上    上 │\n├──┼──┤\n│左  │右  │\n└──┴──┘"
+    joined = "┌──┬──┐\n│上    上  │\n├──┼──┤\n│左  │右  │\n└──┴──┘"
     assert cells_of(joined) is None  # the crossing leads up, where no line is
-    assert cells_of(joined.replace("┬", "─").replace("┼", "┬")) == [(0, 0, 1, 2, "上    上 "), (1, 0, 1, 1, "左  "), (1, 1, 1, 1, "右  ")]
+    assert cells_of(joined.replace("┬", "─").replace("┼", "┬")) == [(0, 0, 1, 2, "上    上  "), (1, 0, 1, 1, "左  "), (1, 1, 1, 1, "右  ")]
     tall = "┌──┬──┐\n│甲  │ab  │\n├──┤字字│\n│丙  │    │\n└──┴──┘"
     assert cells_of(tall)[1] == (0, 1, 2, 1, "ab  \n字字\n    ")
     for broken in ("甲\n乙", "┌─┐\n│a│", TABLE.replace("├─", "├ "), TABLE.replace("丁  ", "丁\t"), TABLE.replace("┌", "╔"), TABLE.replace("乙乙│", "乙乙│x"), TABLE.replace("丁  ", "丁 ")):
