@@ -1,4 +1,4 @@
-"""Queries over small tables of laws, articles and letters; SQL computes the same rows, or states them where it has no such functions."""
+"""Worked examples over small tables of laws, articles and letters; SQL computes the same rows, or states them where it has no such functions."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import chains, links, numerals, segmenting, tables, text
 from quern.functions.query import Vocabulary, compile_query
 from quern.operators import citing, evidence, filters, graph, joins, reading, reports, search
-from quern.plans.fixtures import fixture, laws_and_articles, values, with_tables
-from quern.plans.registry import query
+from tests.worked.fixtures import fixture, laws_and_articles, values, with_tables
+from tests.worked.registry import query
 from quern.sources import rulings
 
 VOCABULARY = Vocabulary({"門": "防火門"}, ("防火", "避難", "設施"))
