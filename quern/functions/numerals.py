@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "〇": 0, "○": 0, "Ｏ": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -32,9 +30,23 @@ def chinese_number(value: str) -> str:
     return str(total + digit)
 
 
-@F.pandas_udf(T.StringType())
-def cn_number(values: pd.Series) -> pd.Series:
-    return values.map(chinese_number, na_action="ignore")
+def cn_number(value: Column | str) -> Column:
+    """``chinese_number`` of a column, folded over its characters."""
+    v = F.col(value) if isinstance(value, str) else value
+    digits, units = F.create_map(*[F.lit(x) for p in DIGITS.items() for x in p]), F.create_map(*[F.lit(x) for p in UNITS.items() for x in p])
+    one_by_one = F.translate(v, "".join(DIGITS), "".join(map(str, DIGITS.values())))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("total"), zero.alias("digit"), F.lit(True).alias("ok"))
+
+    def step(acc: Column, c: Column) -> Column:
+        unit, digit = units[c], digits[c]
+        many = F.when(acc["digit"] == 0, F.lit(1)).otherwise(acc["digit"])
+        total = F.when(unit.isNotNull(), acc["total"] + many * unit).otherwise(acc["total"])
+        last = F.when(unit.isNotNull(), zero).otherwise(F.coalesce(digit.cast("long"), acc["digit"]))
+        return F.struct(total.cast("long").alias("total"), last.cast("long").alias("digit"), (acc["ok"] & (unit.isNotNull() | digit.isNotNull())).alias("ok"))
+
+    by_value = F.aggregate(F.filter(F.split(v, ""), lambda c: c != ""), start, step, lambda acc: F.when(acc["ok"], (acc["total"] + acc["digit"]).cast("string")))
+    return F.when(v.rlike(f"[{''.join(UNITS)}]"), F.coalesce(by_value, v)).otherwise(one_by_one)
 
 
 def address(number: Column) -> Column:

@@ -110,10 +110,23 @@ def fnv1a(text: str) -> int:
     return h
 
 
-@F.pandas_udf(T.DoubleType())
-def hash_fraction(texts: pd.Series) -> pd.Series:
+def fnv1a_hash(text: Column) -> Column:
+    """``fnv1a`` of a column: folded over its UTF-16 units, two for a character beyond the first 65,536."""
+    prime, bits = F.lit(0x01000193), F.lit(0xFFFFFFFF)
+    eat = lambda h, unit: (h.bitwiseXOR(unit) * prime).bitwiseAND(bits)
+
+    def step(h: Column, code: Column) -> Column:
+        over = code - 0x10000
+        pair = eat(eat(h, F.shiftright(over, 10) + 0xD800), over.bitwiseAND(F.lit(0x3FF).cast("long")) + 0xDC00)
+        return F.when(over < 0, eat(h, code)).otherwise(pair)
+
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), step)
+
+
+def hash_fraction(text: Column | str) -> Column:
     """A number in [0, 1) that depends on the text alone."""
-    return texts.map(lambda t: fnv1a(t) / 2**32, na_action="ignore")
+    return fnv1a_hash(F.col(text) if isinstance(text, str) else text) / 2.0**32
 
 
 def fingerprint(*named: Column) -> Column:

@@ -13,7 +13,7 @@ from quern.functions.text import normalize
 MOST = 20
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 #: How a law's first article says under which other law it is made, and how the general part of rules in volumes is named.
-ENACTED = "^本(自治條例|自治規則|條例|規則|辦法|細則|準則|要點|基準|注意事項|標準|通則|規程|規範|編|法)\\s*(?:依據|依照|依)\\s*([一-鿿]{2,60}?)(?:第[^。\\n]{0,90})?規定(?:訂定|訂之|制定)"
+ENACTED = "^本(自治條例|自治規則|條例|規則|辦法|細則|準則|要點|基準|注意事項|標準|通則|規程|規範|編|法)\\s*(?:依據|依照|依)\\s*(\\p{IsHan}{2,60}?)(?:第[^。\\n]{0,90})?規定(?:訂定|訂之|制定)"
 GENERAL_PART, VOLUME = "規則總則編", "^(.*規則).*編$"
 
 
@@ -35,7 +35,7 @@ def tails(name: Column) -> Column:
 
 def declared_aliases(articles: DataFrame, laws: DataFrame) -> DataFrame:
     """(law_id, alias, alias_law): short names that a law's first article gives to another law, if each stands for one only."""
-    pattern = F.lit("([一-鿿]{2,40})[（(]\\s*(?:以下)?(?:簡|逕)?稱(?:為)?\\s*([一-鿿]{2,16})\\s*[）)]")
+    pattern = F.lit("(\\p{IsHan}{2,40})[（(]\\s*(?:以下)?(?:簡|逕)?稱(?:為)?\\s*(\\p{IsHan}{2,16})\\s*[）)]")
     first = articles.where("ord = 0").select("law_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("long"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("short"))).alias("d"))
     each = first.select("law_id", F.col("d.short").alias("alias"), F.explode(tails(F.col("d.long"))).alias("tail"))
     found = each.select("law_id", "alias", normalize("tail").alias("name")).join(name_register(laws).withColumnRenamed("law_id", "alias_law"), "name")
@@ -190,6 +190,6 @@ def definition_uses(articles: DataFrame, defined: DataFrame, citations: DataFram
 def basis_relations(articles: DataFrame, laws: DataFrame) -> DataFrame:
     """(parent, child, no): a law whose first article says it is enacted under another's article."""
     first = articles.where("ord = 0").select(F.col("law_id").alias("child"), F.regexp_replace("text", "（以下簡稱本(?:法|條例)）", "").alias("text"))
-    cited = first.select("child", F.regexp_extract("text", "(?:依據|依)([一-鿿]+?)(第[0-9一二三四五六七八九十百零〇\\s]+條(?:之[0-9一二三四五六七八九十]+)?)", 1).alias("name"), F.regexp_extract("text", "(?:依據|依)([一-鿿]+?)(第[0-9一二三四五六七八九十百零〇\\s]+條(?:之[0-9一二三四五六七八九十]+)?)", 2).alias("no"))
+    cited = first.select("child", F.regexp_extract("text", "(?:依據|依)(\\p{IsHan}+?)(第[0-9一二三四五六七八九十百零〇\\s]+條(?:之[0-9一二三四五六七八九十]+)?)", 1).alias("name"), F.regexp_extract("text", "(?:依據|依)(\\p{IsHan}+?)(第[0-9一二三四五六七八九十百零〇\\s]+條(?:之[0-9一二三四五六七八九十]+)?)", 2).alias("no"))
     names = laws.select(F.col("id").alias("parent"), "name")
     return cited.join(names, "name").where("parent <> child").select("parent", "child", "no")

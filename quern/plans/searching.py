@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.query import Query, Vocabulary, compile_query
+from quern.functions.query import Query, Term, Vocabulary, compile_query
 from quern.functions.text import grams
-from quern.operators import graph, search
+from quern.operators import graph, postings, search
 from quern.plans.registry import query, table
-from quern.sinks import tables
 from quern.sinks.scratch import new_folder
+from quern.sources.records import file_states
 
 #: A fixed query whose first word is an alias of a name made of two known words.
 VOCABULARY = Vocabulary({"bad": "worthless"}, ("scum", "idiot"))
@@ -77,43 +77,68 @@ def ranked_search_top20(spark: SparkSession, sf: str) -> DataFrame:
     return hits.limit(20).select("law_id", "no", "type", F.round("score", 6).alias("score"))
 
 
-def document_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings of all documents (law_id, no, gram), built once for each table in a session and kept clustered by gram.
+def built_index(spark: SparkSession, sf: str) -> postings.Index:
+    """An index of all documents in blocks, built anew."""
+    return postings.build(documents(spark, sf), ["ord"], [F.col("body_norm")], new_folder(spark, "index"))
 
-    A search then reads only the row groups of its own grams.
-    """
-    at = (id(spark), sf)
+
+def document_index(spark: SparkSession, sf: str) -> postings.Index:
+    """The index of these files, built when they are new or have changed."""
+    at = (spark.sparkContext.applicationId, file_states(table(spark, sf, "documents")))
     if at not in _INDEXES:
-        rows = search.postings(documents(spark, sf), ["law_id", "no"], [F.col("body_norm")])
-        path = new_folder(spark, "index")
-        tables.write_index(rows.withColumns({"kind": F.lit("laws"), "region": F.lit("all")}), path)
-        _INDEXES[at] = path
-    return spark.read.schema("law_id string, no string, gram string, kind string, region string").parquet(_INDEXES[at])
+        _INDEXES[at] = built_index(spark, sf)
+    return _INDEXES[at]
 
 
-_INDEXES: dict[tuple[int, str], str] = {}
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
 
 
 @query(f"SELECT law_id, no, type, score FROM ({_RANKED})")
 def index_equals_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The index path: postings pick candidates, the exact search then reads only those; same rows as a scan."""
-    found = search.candidate_rows(document_index(spark, sf), ["law_id", "no"], asked())
-    hits = search.search(laws(spark, sf), documents(spark, sf), asked(), VOCABULARY, candidates=found)
+    index = document_index(spark, sf)
+    rows = postings.rows_of(index, postings.candidates(index, asked()))
+    hits = search.search(laws(spark, sf), rows, asked(), VOCABULARY)
     return hits.select("law_id", "no", "type", F.round("score", 6).alias("score"))
 
 
+#: A phrase that few documents hold.
+RARE = "token"
+
+
+@query(f"""SELECT doc_id, CAST(doc_id AS VARCHAR) AS no, strpos({_B}, '{RARE}') AS at FROM documents WHERE contains({_B}, '{RARE}')""")
+def rare_phrase_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a rare phrase, read by their numbers in the index and checked."""
+    index = document_index(spark, sf)
+    found = postings.candidates(index, Query((Term(RARE, RARE, ()),), "", RARE))
+    rows = postings.rows_of(index, found).where(F.contains("body_norm", F.lit(RARE)))
+    return rows.select("doc_id", "no", F.instr("body_norm", RARE).alias("at"))
+
+
+@query("""SELECT conv_id AS law_id, turn AS page, 'documents' AS type, 150.0::DOUBLE AS score, 'phrase' AS match FROM conversations WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')""")
+def indexed_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as pages of their conversations, found through an index of their own that is built each time."""
+    q = compile_query("the and", Vocabulary())
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("law_id"), F.col("turn").alias("page"), "text", F.lower("text").alias("body_norm"))
+    index = postings.build(turns, ["law_id", "page"], [F.col("body_norm")], new_folder(spark, "turns"))
+    return search.search_pages(postings.rows_of(index, postings.candidates(index, q)), q).select("law_id", "page", F.lit("documents").alias("type"), "score", "match")
+
+
 _PAIRED = "list_concat(string_split(lower(text), ''), list_transform(range(1, length(text)), lambda i: substr(lower(text), i, 2)))"
 _GRAMS = f"SELECT DISTINCT doc_id, unnest({_PAIRED}) AS gram FROM documents WHERE text <> ''"
 
 
 @query(f"SELECT gram, count(*) AS df FROM ({_GRAMS}) GROUP BY gram")
 def bigram_index_df(spark: SparkSession, sf: str) -> DataFrame:
-    return search.document_frequencies(document_index(spark, sf))
+    """The index built anew, and how many documents each gram of it occurs in."""
+    return built_index(spark, sf).grams
 
 
 @query(f"SELECT doc_id FROM ({_GRAMS}) WHERE gram IN ('th', 'ha', 'at') GROUP BY doc_id HAVING count(DISTINCT gram) = 3")
 def index_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return search.phrase_rows(document_index(spark, sf), ["law_id", "no"], "that").select(F.col("no").cast("long").alias("doc_id"))
+    index = document_index(spark, sf)
+    found = postings.candidates(index, compile_query("that", Vocabulary()))
+    return index.rows.join(found, "n", "left_semi").select("doc_id")
 
 
 def _holds(word: str) -> str:
@@ -123,8 +148,8 @@ def _holds(word: str) -> str:
 @query(f"SELECT count(*) FILTER ({_holds('the')} AND ({_holds('bad')} OR {_holds('worthless')})) AS candidates, count(*) AS documents FROM documents")
 def index_reach(spark: SparkSession, sf: str) -> DataFrame:
     """How many documents the search has to read by the index, and how many there are."""
-    found = search.candidate_rows(document_index(spark, sf), ["law_id", "no"], asked())
-    return search.reach(documents(spark, sf), found, ["law_id", "no"])
+    index = document_index(spark, sf)
+    return search.reach(index.rows, postings.candidates(index, asked()), ["n"])
 
 
 @query(f"""WITH h AS (SELECT law_id, row_number() OVER (ORDER BY score DESC, CAST(regexp_extract(law_id, '([0-9]+)', 1) AS INT), doc_id) AS rank FROM ({_RANKED})) SELECT law_id, min(rank) AS first_rank, count(*) AS n FROM h GROUP BY law_id""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -241,3 +242,14 @@ def routes(urls: DataFrame, url: str = "url") -> DataFrame:
     part = lambda p: F.regexp_extract(path, p, 1)
     anchor = F.coalesce(F.try_parse_url(url, F.lit("REF")), F.lit(""))
     return urls.select("*", part(r"/laws?/([^/#?]+)").alias("law"), part(r"/rulings?/(\d+)").alias("ruling"), F.regexp_extract(anchor, r"^a-(\d+(?:-\d+)?)", 1).alias("article"), F.regexp_extract(anchor, r"^a-\d+(?:-\d+)?((?:-[pis]\d+)+)$", 1).alias("unit"), F.coalesce(F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("q"))), F.lit("")).alias("query"))
+
+
+def file_states(df: DataFrame) -> str:
+    """A digest of the paths, sizes and times of the files that a table reads: another one when any has changed."""
+    spark = df.sparkSession
+    conf, digest = spark._jsc.hadoopConfiguration(), hashlib.sha256()
+    for file in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        digest.update(f"{file}\n{status.getLen()}\n{status.getModificationTime()}\n".encode())
+    return digest.hexdigest()

@@ -94,9 +94,14 @@ def letters(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(h) for h in content], columns=["text", "links"])
 
 
+#: Digits and signs of dates in full width, and what they stand for.
+FULL_WIDTH, HALF_WIDTH = "０１２３４５６７８９．／", "0123456789./"
+
+
 def issued(header: Column) -> Column:
-    """ISO day of a date in the Republic of China calendar that a header gives (84.3.5, 84/3/5, 84年3月5日); empty if none or impossible."""
-    part = [F.regexp_extract(header, r"(?<!\d)(\d{2,3})[.年/](\d{1,2})[.月/](\d{1,2})(?!\d)", i).try_cast("int") for i in (1, 2, 3)]
+    """ISO day of a date in the Republic of China calendar that a header gives (84.3.5, 84/3/5, 84年3月5日, in full-width signs too); empty if none or impossible."""
+    plain = F.translate(header, FULL_WIDTH, HALF_WIDTH)
+    part = [F.regexp_extract(plain, r"(?<!\d)(\d{2,3})[.年/](\d{1,2})[.月/](\d{1,2})(?!\d)", i).try_cast("int") for i in (1, 2, 3)]
     day = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", part[0] + OFFSET, part[1], part[2]), F.lit("yyyy-MM-dd"))
     return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(""))
 
