@@ -32,7 +32,7 @@ def binned_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: s
     levels = sorted(r[0] for r in usable.select("quern_level").distinct().collect())  # a few dozen at most
     if not levels:
         levels = [0]
-    bins = F.shiftleft(F.lit(width).cast("long"), F.col("quern_level"))
+    bins = F.call_function("shiftleft", F.lit(width).cast("long"), F.col("quern_level"))
     in_bins = F.sequence(F.floor(F.col(start) / bins), F.floor((F.col(end) - 1) / bins))
     held = usable.withColumn("quern_bin", F.explode(in_bins))
     asked = points.where(F.col(at).isNotNull()).withColumn("quern_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("quern_bin", F.floor(F.col(at) / bins))

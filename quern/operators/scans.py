@@ -49,48 +49,48 @@ def scanned(df: DataFrame, key: Sequence[str], order: Sequence[str], totals: dic
     named = df
     for name, s in scans.items():
         wrapped = F.struct(s.value.alias("v")) if s.kind == "lag" else F.when(s.value.isNotNull(), F.struct(s.value.alias("v"))) if s.kind == "last" else s.value
-        named = named.withColumn(f"quern_{name}", wrapped)
+        named = named.withColumn(f"scan__v_{name}", wrapped)
     for name, value in (totals or {}).items():
-        named = named.withColumn(f"quern_t_{name}", value)
+        named = named.withColumn(f"scan__t_{name}", value)
     by = [*key, *order]
-    rows = checkpointed(named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("quern_part", F.spark_partition_id()), "scan")
+    rows = checkpointed(named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("scan__part", F.spark_partition_id()), "scan")
 
-    inside = Window.partitionBy("quern_part", *key).orderBy(*order)
+    inside = Window.partitionBy("scan__part", *key).orderBy(*order)
     last = lambda s: s.kind in ("last", "lag")
-    parts = rows.groupBy("quern_part", *key).agg(*[_range_value(s, n, order) for n, s in scans.items()], *[F.sum(f"quern_t_{n}").alias(f"quern_t_{n}") for n in totals or {}])
+    parts = rows.groupBy("scan__part", *key).agg(*[_range_value(s, n, order) for n, s in scans.items()], *[F.sum(f"scan__t_{n}").alias(f"scan__t_{n}") for n in totals or {}])
     whole = Window.partitionBy(*key)
-    earlier = whole.orderBy("quern_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    earlier = whole.orderBy("scan__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     # only a key at the edge of a range goes on in others: two rows a range at most, however many keys there are
-    carried = parts.withColumn("quern_n", F.count("*").over(whole)).select(
-        F.col("quern_part").alias("quern_p"), "quern_n", *[F.col(k).alias(f"quern_k{i}") for i, k in enumerate(key)],
-        *[(F.last(f"quern_{n}", ignorenulls=True) if last(s) else s.folded(F.col(f"quern_{n}"))).over(earlier).alias(f"quern_c_{n}") for n, s in scans.items()],
-        *[F.sum(f"quern_t_{n}").over(whole).alias(f"quern_w_{n}") for n in totals or {}],
-    ).where("quern_n > 1")
+    carried = parts.withColumn("scan__n", F.count("*").over(whole)).select(
+        F.col("scan__part").alias("scan__p"), "scan__n", *[F.col(k).alias(f"scan__k{i}") for i, k in enumerate(key)],
+        *[(F.last(f"scan__v_{n}", ignorenulls=True) if last(s) else s.folded(F.col(f"scan__v_{n}"))).over(earlier).alias(f"scan__c_{n}") for n, s in scans.items()],
+        *[F.sum(f"scan__t_{n}").over(whole).alias(f"scan__w_{n}") for n in totals or {}],
+    ).where("scan__n > 1")
     out = rows
     for name, s in scans.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, -1 if s.before else Window.currentRow)
-        value = F.col(f"quern_{name}")
+        value = F.col(f"scan__v_{name}")
         own = F.lag(value).over(inside) if s.kind == "lag" else F.last(value, ignorenulls=True).over(frame) if s.kind == "last" else s.folded(value).over(frame)
-        out = out.withColumn(f"quern_o_{name}", own)
+        out = out.withColumn(f"scan__o_{name}", own)
     for name in totals or {}:
-        out = out.withColumn(f"quern_o_{name}", F.sum(f"quern_t_{name}").over(Window.partitionBy("quern_part", *key)))
-    on = F.col("quern_part") == F.col("quern_p")
+        out = out.withColumn(f"scan__o_{name}", F.sum(f"scan__t_{name}").over(Window.partitionBy("scan__part", *key)))
+    on = F.col("scan__part") == F.col("scan__p")
     for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"quern_k{i}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"scan__k{i}"))
     both = out.join(F.broadcast(carried), on, "left")
     told = []
     for n, s in scans.items():
-        value = s.joined(F.col(f"quern_c_{n}"), F.col(f"quern_o_{n}"))
+        value = s.joined(F.col(f"scan__c_{n}"), F.col(f"scan__o_{n}"))
         told.append((value["v"] if last(s) else value).alias(n))
-    return both.select(*df.columns, *told, *[F.coalesce(f"quern_w_{n}", f"quern_o_{n}").alias(n) for n in totals or {}])
+    return both.select(*df.columns, *told, *[F.coalesce(f"scan__w_{n}", f"scan__o_{n}").alias(n) for n in totals or {}])
 
 
 def _range_value(s: Scan, name: str, order: Sequence[str]) -> Column:
     """What a whole range comes to."""
-    value = F.col(f"quern_{name}")
+    value = F.col(f"scan__v_{name}")
     if s.kind in ("last", "lag"):
-        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias(f"quern_{name}")
-    return s.folded(value).alias(f"quern_{name}")
+        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias(f"scan__v_{name}")
+    return s.folded(value).alias(f"scan__v_{name}")
 
 
 def runs(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:

@@ -13,6 +13,8 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session without spark.checkpoint.dir keeps them.
+ROOT = "file:///tmp/checkpoints"
 #: Folders that this process has asked for.
 _folders: set[str] = set()
 
@@ -23,7 +25,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file:///tmp/checkpoints"
+        root = ROOT
     folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _folders.add(folder)
     return folder
