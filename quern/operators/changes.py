@@ -70,8 +70,8 @@ def merged_entries(mine: DataFrame, theirs: DataFrame, key: str, identity: Seque
 
 
 def distinct_evidence(entries: DataFrame, identity: Sequence[str], order: str) -> DataFrame:
-    """First entry of each identity."""
-    w = Window.partitionBy(*identity).orderBy(order)
+    """First entry of each identity; entries meet by its digest, as it may hold whole texts."""
+    w = Window.partitionBy(F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)).orderBy(order)
     return entries.withColumn("quern_rn", F.row_number().over(w)).where("quern_rn = 1").drop("quern_rn")
 
 

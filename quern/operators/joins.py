@@ -112,8 +112,15 @@ def specific_first(refs: DataFrame, group: Sequence[str], detail: str) -> DataFr
 
 
 def unique_keys(df: DataFrame, key: str, identity: Sequence[str], row_id: str) -> DataFrame:
-    """Each key that stands for one thing: its rows are alike in ``identity``; they resolve to the smallest id."""
-    return df.groupBy(key).agg(F.count_distinct(F.struct(*identity)).alias("kinds"), F.min(row_id).alias(row_id)).where("kinds = 1").select(key, row_id)
+    """Each key that stands for one thing: its rows are alike in ``identity``; they resolve to the smallest id.
+
+    Keys may be whole texts, so rows meet by digest; the key itself is read again for the rows that are left.
+    """
+    alike = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
+    digest = F.when(F.col(key).isNotNull(), F.sha2(F.col(key).cast("string"), 256))
+    kinds = df.groupBy(digest.alias("quern_k")).agg(F.min(alike).alias("a"), F.max(alike).alias("b"), F.min(row_id).alias(row_id)).where("a = b").select("quern_k", row_id)
+    own = df.select(key, row_id, digest.alias("quern_h")).join(kinds, row_id).where(F.col("quern_h").eqNullSafe(F.col("quern_k")))
+    return own.dropDuplicates([row_id, "quern_h"]).select(key, row_id)
 
 
 def contained_in(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:

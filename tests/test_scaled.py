@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,8 +173,12 @@ def test_plans_stay_in_the_jvm(spark, sf, plan, name):
 
 
 def test_scratch_is_cleared(spark, monkeypatch, tmp_path):
+    def made(_, name):
+        scratch._folders.add(folder := f"file://{tmp_path}/shared/{name}-{uuid.uuid4().hex}")
+        return folder
+
     monkeypatch.setattr(scratch, "_folders", set())
-    monkeypatch.setattr(scratch, "ROOT", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(scratch, "new_folder", made)
     df = scans.runs(spark.range(20).withColumn("v", F.lit(1)), [], ["id"], F.col("v"))
     assert df.count() == 20 and len(os.listdir(tmp_path / "shared")) == len(scratch._folders) == 2
     scratch.clear()
