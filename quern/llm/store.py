@@ -9,33 +9,35 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sinks.scratch import new_folder
+from quern.sinks.scratch import delete, new_folder
 
 #: Folder of the block of work that goes on (see ``finished``).
 _block: ContextVar[str | None] = ContextVar("block", default=None)
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    return f"{_block.get()}/{name}-{uuid.uuid4().hex}" if _block.get() else new_folder(spark, name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{_block.get()}/{name}-{uuid.uuid4().hex}" if _block.get() else new_folder(df.sparkSession, name)
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def drop_folder(df: DataFrame) -> None:
     """Delete the files behind a table that ``written`` made, when no later read needs them."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, folder)
+        delete(folder)
 
 
 def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, written once; every table that is written on the way lies in one folder, which is deleted then."""
-    folder, out = new_folder(spark, f"{name}-work"), new_folder(spark, name)
+    """What ``make`` gives, written once; every table that is written on the way lies in one folder, which is deleted then.
+
+    Inside another piece of work the result is one of its tables, and goes with them.
+    """
+    folder, out = new_folder(spark, f"{name}-work"), new_table(spark, name)
     token = _block.set(folder)
     try:
         result = make()
@@ -43,7 +45,7 @@ def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> D
         schema = result.schema
     finally:
         _block.reset(token)
-        delete(spark, folder)
+        delete(folder)
     return spark.read.schema(schema).parquet(out)
 
 

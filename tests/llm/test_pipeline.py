@@ -1,9 +1,11 @@
 """The pipeline's stages, one after the other, on the smallest tables."""
 
+import os
+import uuid
 from collections import Counter
 
 import corpus_pipeline
-from quern.llm import secrets
+from quern.llm import secrets, store
 from tests.llm.cases import ODD, clashing
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_scans import base_spans, contained
@@ -38,8 +40,11 @@ def test_stages(spark, sf):
     check_pieces(pack(spark, safe, sf).collect(), rows(safe))
 
 
-def test_run(spark, sf):
+def test_run_leaves_its_result_alone(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(corpus_pipeline.BATCHES)
     assert corpus_pipeline.run(spark, sf).count() > 0
+    assert len(os.listdir(tmp_path)) == 1 and spark.conf.get(corpus_pipeline.BATCHES) == before
 
 
 def test_empty_labels_reject_nothing(spark, tmp_path):
