@@ -34,6 +34,10 @@ BUCKETS = 1 << 17
 SCALE = 100.0
 #: Words without meaning that are added to each text, so that a very short one does not hang on one word.
 REST = 5
+#: A row counts in full where its share of texts differs between the classes by so many standard errors, else by the square of its part of that.
+SURE = 10.0
+#: Rows that count less than this are left out.
+LEAST_GAIN = 0.02
 #: Words whose logit a worker keeps before it starts anew.
 CACHED = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,12 +100,23 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def gains(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """How much each row counts, 0 to 1: by how surely it is more frequent in one class, so that few texts don't teach the noise of rare rows."""
+    times = np.zeros((2, BUCKETS))
+    for (r, _), k in zip(found, y, strict=True):
+        times[k, r] += 1
+    n = np.array([[(y == 0).sum()], [(y == 1).sum()]])
+    share = (times.sum(0) + 1) / (len(y) + 2)
+    error = np.sqrt(share * (1 - share) * (1 / n).sum())
+    return np.minimum(np.abs(np.diff(times / n, axis=0)[0]) / error / SURE, 1) ** 2
+
+
 def fit(sample: Sample, dim: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.1, ridge: float = 5000.0, seen: int = 3, seed: int = 7) -> Model:
     """Stochastic gradient descent on embeddings and softmax together.
 
     A row's step is divided by the weight it has over all texts, and by ``ridge`` (in
     texts that hold it once), which holds back rare rows; rows in fewer than ``seen``
-    texts stay zero. Classes weigh alike, so a score of 0.5 means that a text is as
+    texts stay zero, and the others' vectors are multiplied by their ``gains``. Classes weigh alike, so a score of 0.5 means that a text is as
     likely under either.
     """
     y = np.array([int(v) for v in sample.labels])
@@ -113,8 +128,11 @@ def fit(sample: Sample, dim: int = 8, epochs: int = 20, batch: int = 256, rate:
     times = np.zeros(BUCKETS, np.int64)
     for r, _ in found:
         times[r] += 1
-    used = times >= seen
-    found = [(r[used[r]], w[used[r]] * np.float32(SCALE)) for r, w in found]
+    gain = gains(found, y).astype(np.float32)
+    used = (times >= seen) & (gain >= LEAST_GAIN)
+    if not used.any():  # nothing tells the classes apart
+        return Model(np.zeros(BUCKETS), float(np.log(max(n1, 1) / max(n0, 1))), prior)
+    found = [(r[used[r]], (w * gain[r])[used[r]] * np.float32(SCALE)) for r, w in found]
     bounds = np.cumsum([0, *(r.size for r, _ in found)])
     rows, weights = (np.concatenate(x) for x in zip(*found, strict=True))
     del found
@@ -150,7 +168,7 @@ def fit(sample: Sample, dim: int = 8, epochs: int = 20, batch: int = 256, rate:
             soft -= 0.05 * hidden.T @ p
             bias -= 0.05 * p.sum(0)
     diff = (soft[:, 1] - soft[:, 0]) * SCALE
-    return Model((emb @ diff).astype(np.float64), float(bias[1] - bias[0]), prior)
+    return Model((emb @ diff * gain).astype(np.float64), float(bias[1] - bias[0]), prior)
 
 
 class Scorer:

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+import zstandard
 
 from quern.llm import labelled, language, quality, queries, toxicity
 from quern.llm.labelled import Sample
@@ -119,6 +121,38 @@ def test_toxicity_odd(spark):
     assert toxicity.Scorer(toxicity.fit(Sample([], [], {}))).scores([None, "a b"]).tolist() == [0.0, 0.5]
 
 
+def test_few_toxic_texts_are_enough():
+    """Thirty toxic texts among three hundred: rows that tell nothing apart don't drown the few that do."""
+    r = random.Random(12)
+    rows = [(insulted(r), 1) if i % 10 == 0 else (prose(r, 150), 0) for i in range(600)]
+    score = toxicity.Scorer(toxicity.fit(Sample([t for t, _ in rows[:300]], [y for _, y in rows[:300]], {1: 30, 0: 270}))).scores
+    y, s = np.array([y for _, y in rows[300:]]), score([t for t, _ in rows[300:]])
+    assert area(y, s) > 0.95
+
+
+def test_toxicity_of_one_text_by_hand():
+    """A text's score is the logistic of the mean of its distinct words' means of n-gram logits."""
+    r = random.Random(13)
+    model = toxicity.fit(Sample([insulted(r) for _ in range(60)] + [prose(r) for _ in range(60)], [1] * 60 + [0] * 60, {1: 60, 0: 60}))
+    text = insulted(r) + " x Straße"
+    words = set(toxicity.WORD.findall(text.lower()))
+    logit = model.bias + sum(model.row_logits[toxicity.subwords([w])[0]].mean() for w in words) / (len(words) + toxicity.REST)
+    assert toxicity.Scorer(model).scores([text])[0] == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def test_quality_of_one_text_by_hand():
+    """A text's score is the logistic of the difference of its blocks' sizes under two dictionaries."""
+    r = random.Random(14)
+    model = quality.fit(Sample([prose(r) for _ in range(80)] + [junk(r) for _ in range(80)], [1] * 80 + [0] * 80, {1: 80, 0: 80}))
+    for text in (prose(r), junk(r), "é" * 100):
+        raw, sizes = text.encode(), []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK)))
+        z = model.weights[0] + model.weights[1] * 100 * (sizes[1] - sizes[0]) / len(raw)
+        assert quality.scores(model, quality.Compressors(model.good, model.bad), [text])[0] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_subwords_are_those_of_the_word():
     rows, owner = toxicity.subwords(["abcd", "x", "abcd"])
     assert sorted(rows[owner == 0]) == sorted(rows[owner == 2])

@@ -150,3 +150,13 @@ def test_last_window_is_cut_at_powers():
     parts = [(0, 0, 700), (1, 5, 640)]
     sizes = [sum(n for _, _, n in s) for s in packing.at_powers(parts, 1340)]
     assert sizes == [1024, 256, 32, 16, 8, 4]
+
+
+def test_token_files_query(spark, sf):
+    """The query against the tokenizers library, one text at a time."""
+    want, start = [], 0
+    for d, text in sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()):
+        own = np.array([*ids(text or ""), 2], "<u4")
+        want.append((d, start, len(own), zlib.crc32(own.tobytes())))
+        start += len(own)
+    assert sorted(tuple(r) for r in queries.op6_token_files(spark, sf).collect()) == want
