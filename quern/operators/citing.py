@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.chains import clean_name, kind_of
 from quern.functions.segmenting import LAW_NAME, at_boundary, citations, definitions, spans, term_spans, text_blocks, unit_targets, units
 from quern.functions.text import normalize
+from quern.operators import scopes
 
 #: Members of a range at most; longer ones are rejected.
 MOST = 20
@@ -128,15 +129,17 @@ def found_citations(texts: DataFrame, key: str, laws: DataFrame, articles: DataF
     kinds = laws.select(F.col("id").alias("direct"), kind_of(clean_name(normalize("name"))).alias("direct_kind"))
     head = head.join(kinds, "direct", "left")
     before = Window.partitionBy(key, "paragraph").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    head = head.withColumn("seen", F.collect_list(F.when(F.coalesce("alias_law", "named_law").isNotNull(), F.struct(F.coalesce("alias_law", "named_law").alias("named_law"), "direct_kind"))).over(before))  # of one paragraph
-    back = F.filter("seen", lambda s: s["direct_kind"] == F.substr(F.col("token"), F.lit(2)))
-    same = F.when(F.col("token").rlike("^[同該此]"), F.get(F.reverse(F.transform(back, lambda s: s["named_law"])), F.lit(0)))
+    # laws named before this place: the last of the kind that is asked for, and the only one if there is but one
+    declared, asked = F.coalesce("alias_law", "named_law"), F.col("token").rlike("^[同該此]")
+    place = [key, "paragraph"]
+    head = scopes.in_force(head, place, ["start"], F.when(declared.isNotNull(), F.col("direct_kind")).otherwise(F.substr(F.col("token"), F.lit(2))), declared, F.lit(False), "last_law")
+    head = scopes.only_one_so_far(head, place, ["start"], declared, "only_law")
+    same = F.when(asked, F.col("last_law"))
     unknown = (F.col("name") != "") & F.col("direct").isNull() & same.isNull()
     poisoned = F.coalesce(F.max(unknown).over(before), F.lit(False))
-    distinct = F.array_distinct(F.transform("seen", lambda s: s["named_law"]))
-    bare = F.when((F.col("name") == "") & ~poisoned, F.when(F.size(distinct) == 1, distinct[0]).when(F.size(distinct) == 0, F.col("law_id")))
+    bare = F.when((F.col("name") == "") & ~poisoned, F.when(F.col("only_law_n") == 1, F.col("only_law")).when(F.col("only_law_n") == 0, F.col("law_id")))
     head = head.withColumn("target_law", F.coalesce("direct", same, bare)).withColumn(
-        "resolution", F.when(F.col("alias_law").isNotNull(), "alias").when(F.col("named_law").isNotNull(), "named").when(F.col("direct").isNotNull(), "self").when(same.isNotNull() | (F.size(distinct) == 1), "paragraph").otherwise("source")
+        "resolution", F.when(F.col("alias_law").isNotNull(), "alias").when(F.col("named_law").isNotNull(), "named").when(F.col("direct").isNotNull(), "self").when(same.isNotNull() | (F.col("only_law_n") == 1), "paragraph").otherwise("source")
     )
     head = head.select(key, "paragraph", "group", "target_law", "resolution", F.col("unit").alias("head_unit"))
     rows = c.join(head, [key, "paragraph", "group"]).where(F.col("target_law").isNotNull() & (F.col("unit") == F.col("head_unit")))
