@@ -57,7 +57,7 @@ BROADCAST_ROWS = 200_000
 #: Pairs of whole sets in one batch after which a worker gives back memory.
 MANY = 1000
 #: Words whose hash a worker keeps before it starts anew.
-CACHED = 200_000
+CACHED = 100_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)

@@ -7,16 +7,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.memory import lean
 from quern.llm.store import by_place, pick
@@ -91,6 +90,10 @@ def spans(text: str | None, words: ahocorasick.Automaton) -> list[tuple[int, int
     return sorted(out)
 
 
+#: Texts that are redacted at once.
+ROWS = 500
+
+
 @lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = automaton()
@@ -124,16 +127,22 @@ def redacted(text: str, found: list[tuple[int, int, int]], mark: str = "[secret]
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf(T.StringType())
-def redact_text(texts: pd.Series) -> pd.Series:
+@lean
+def _redact(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Column ``at`` redacted, some rows at a time."""
     words = automaton()
-    return texts.map(lambda t: t if t is None else redacted(t, spans(t, words)))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            texts = (t.as_py() for t in batch.column(at))
+            done = pa.array([t if t is None else redacted(t, spans(t, words)) for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced and, where there is such a column, ``n_chars`` counted anew."""
     plain, text = by_place(docs, "text")
-    out = plain.withColumn(text, redact_text(text))
+    out = plain.mapInArrow(functools.partial(_redact, at=plain.columns.index(text)), plain.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn(by_place(docs, "n_chars")[1], F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.toDF(*docs.columns)
