@@ -36,12 +36,13 @@ def sectioned_turns(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.sectioned_lines(rows, "conv_id", ["turn"], "line", "^user ").select("conv_id", "turn", "section", "heading")
 
 
-@query("""WITH s AS (SELECT n_regionkey, n_nationkey AS a, n_nationkey + 7 AS b FROM nation WHERE n_nationkey % 10 < 5), p AS (SELECT s_suppkey, s_nationkey AS page, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+@query("""WITH s AS (SELECT n_regionkey, n_nationkey + 1 AS a, n_nationkey + 3 AS b FROM nation), p AS (SELECT s_suppkey, s_nationkey AS page, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 f AS (SELECT n_regionkey, min(a) AS first FROM s GROUP BY 1), m AS (SELECT p.s_suppkey, p.n_regionkey, s.a FROM p LEFT JOIN s ON s.n_regionkey = p.n_regionkey AND p.page BETWEEN s.a AND s.b)
 SELECT s_suppkey, coalesce(m.a, f.first) AS section_id FROM m LEFT JOIN f USING (n_regionkey)""")
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation")
-    sections = nation.where("n_nationkey % 10 < 5").select("n_regionkey", F.col("n_nationkey").alias("section_id"), F.col("n_nationkey").alias("start_page"), (F.col("n_nationkey") + 7).alias("end_page"))
+    start = F.col("n_nationkey") + 1
+    sections = nation.select("n_regionkey", start.alias("section_id"), start.alias("start_page"), (start + 2).alias("end_page"))
     pages = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("page")).join(nation.select(F.col("n_nationkey").alias("page"), "n_regionkey"), "page")
     return evidence.section_of(pages, sections, "n_regionkey").select("s_suppkey", "section_id")
 
