@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import chains, dates, links, text
+from quern.functions import chains, dates, links, numerals, text
 from quern.functions.query import Vocabulary, compile_query
-from quern.operators import evidence, filters, graph, reading, reports, search
+from quern.operators import citing, evidence, filters, graph, reading, reports, search, windows
 from quern.plans.registry import query, table
 from quern.plans.searching import laws
 from quern.sinks import tables
@@ -279,3 +279,110 @@ def targets_of_orders(spark: SparkSession, sf: str) -> DataFrame:
 def first_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The small tables that a reader loads first, written and counted."""
     return tables.write_runtime(new_folder(spark, "runtime"), catalog=table(spark, sf, "customer"), targets=table(spark, sf, "orders").select("o_orderkey", "o_custkey"), context=table(spark, sf, "nation"))
+
+
+@query("""SELECT conv_id, turn + 1 AS page, sha256(text) AS digest FROM conversations""")
+def pages_of_form_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns joined by form feeds, as the text of a printed document, and cut into pages again."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.concat(F.array_join(turns, "\f"), F.lit("\f")).alias("text"))  # of one conversation
+    return records.page_rows(docs, "conv_id").select("conv_id", "page", F.sha2("text", 256).alias("digest"))
+
+
+@query("""SELECT conv_id::VARCHAR AS folder_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, turn::VARCHAR AS id, sha256(text) AS digest FROM conversations QUALIFY turn % 5 <> 3""")
+def entries_of_casebooks(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations saved as casebooks and read again; entries whose quote no longer has its hash go."""
+    digest = F.when(F.col("turn") % 5 == 3, F.sha2("role", 256)).otherwise(F.sha2("text", 256))
+    entry = F.struct("turn", F.col("turn").cast("string").alias("id"), F.col("role").alias("title"), F.col("text").alias("quote"), digest.alias("contentHash"), F.lit("").alias("note"))
+    books = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # of one conversation
+    folder = F.struct(F.col("conv_id").cast("string").alias("id"), F.col("conv_id").cast("string").alias("name"), F.transform("entries", lambda e: e.dropFields("turn")).alias("entries"))
+    raw = books.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.array(folder).alias("folders"))).alias("json"))
+    return records.casebook_entries(raw).select("folder_id", F.col("ord").cast("long").alias("ord"), "id", F.sha2("quote", 256).alias("digest"))
+
+
+@query("SELECT 'd:' || doc_id AS key, source AS title, sha256(text) AS digest FROM documents")
+def watched_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Watched items stored as JSON objects, a key for each."""
+    item = F.struct(F.col("source").alias("title"), F.col("text").alias("quote"), F.sha2("text", 256).alias("contentHash"))
+    raw = table(spark, sf, "documents").select(F.to_json(F.create_map(F.concat(F.lit("d:"), F.col("doc_id").cast("string")), item)).alias("json"))
+    return records.watch_store(raw).select("key", "title", F.sha2("quote", 256).alias("digest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, '第' || l_linenumber || '章 ' || l_returnflag AS title FROM lineitem WHERE l_returnflag <> 'N'")
+def outline_of_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that begin with a chapter's heading, after white space."""
+    head = F.concat(F.lit(" 第"), F.col("l_linenumber").cast("string"), F.lit("章 "), "l_returnflag", F.lit("\n"), "l_linestatus")
+    pages = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", F.concat(F.lit("見"), head)).otherwise(head).alias("text"))
+    return evidence.outline(pages).select("l_orderkey", "l_linenumber", "title")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity * 20 > 760 AND l_returnflag = 'N' AND l_orderkey % 20000 < 10000)")
+def words_without_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of pages without printed numbers near the lower edge; longer numbers and words stay."""
+    text_ = F.when(F.col("l_returnflag") == "N", (F.col("l_orderkey") % 20_000).cast("string")).otherwise(F.col("l_returnflag"))
+    words = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 20).alias("top"), text_.alias("text"))
+    return evidence.without_footers(words).select("l_orderkey", "l_linenumber")
+
+
+def _han(number: Column) -> Column:
+    return F.translate(number.cast("string"), "0123456789", "零一二三四五六七八九")
+
+
+@query("SELECT c_custkey // 3 AS parent, c_custkey AS child, '第' || (c_custkey % 90 + 1) || '條' AS no FROM customer WHERE c_custkey // 3 <> c_custkey")
+def basis_of_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as laws, each made under an article of another, as its first article says."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    name = lambda k: F.concat(F.lit("典"), _han(k), F.lit("法"))
+    first = F.concat(F.lit("本規則依"), name(F.floor(key / 3)), F.lit("第"), (key % 90 + 1).cast("string"), F.lit("條規定訂定之。"))
+    return citing.basis_relations(c.select(key.alias("law_id"), F.lit(0).alias("ord"), first.alias("text")), c.select(key.alias("id"), name(key).alias("name")))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::INT, l_linenumber) AS ordinal FROM lineitem")
+def ordered_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in the order of article numbers like 7, 7-1, 12: by number, not by letter."""
+    address = F.concat_ws("-", F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", address.alias("address"))
+    return windows.ordinals(rows, ["l_orderkey"], numerals.address_order(F.col("address"))).select("l_orderkey", "l_linenumber", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+_STATUS = {"F": "updated", "O": "unchanged", "P": "retained"}
+
+
+@query("SELECT c_custkey, CASE o_orderstatus " + " ".join(f"WHEN '{k}' THEN '{reports.OUTCOMES[v]}'" for k, v in _STATUS.items()) + " END AS outcome FROM customer LEFT JOIN (SELECT o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) ON o_custkey = c_custkey")
+def outcomes_of_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """What the last order says of each customer, in words; null without one."""
+    last = search.first_by(table(spark, sf, "orders"), ["o_custkey"], F.desc("o_orderkey"))
+    status = F.element_at(F.create_map(*[F.lit(x) for p in _STATUS.items() for x in p]), F.col("o_orderstatus"))
+    outcomes = last.select(F.col("o_custkey").alias("id"), status.alias("status"), F.lit("").alias("reason"))
+    return reports.outcome_of(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), outcomes).select(F.col("id").alias("c_custkey"), "outcome")
+
+
+@query("""SELECT 'a' || doc_id AS id, sha256(text) AS content_hash, source AS source_hash FROM documents UNION ALL SELECT 'r' || conv_id || '-' || turn, sha256(text), NULL FROM conversations UNION ALL SELECT 'p' || page_id, sha256(html), url FROM pages""")
+def texts_behind_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The current text of everything that is saved: articles, letters and pages, each by its own kind of place."""
+    docs, turns, pages = (table(spark, sf, t) for t in ("documents", "conversations", "pages"))
+    none, word = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    letter = F.concat_ws("-", word("conv_id"), word("turn"))
+    columns = ("id", "kind", "law", "article", "unit", "ruling", "page")
+    saved = (
+        docs.select(F.concat(F.lit("a"), word("doc_id")), F.lit("article"), "source", word("doc_id"), none, none, none.cast("long")).toDF(*columns)
+        .union(turns.select(F.concat(F.lit("r"), letter), F.lit("ruling"), none, none, none, letter, none.cast("long")).toDF(*columns))
+        .union(pages.select(F.concat(F.lit("p"), word("page_id")), F.lit("document"), "url", none, none, none, "page_id").toDF(*columns))
+    )
+    articles = docs.select(F.col("source").alias("law_id"), word("doc_id").alias("no"), "text", F.col("source").alias("source_hash"))
+    units = spark.createDataFrame([], "unit_id string, quote string")
+    return evidence.current_texts(saved, articles, units, turns.select(letter.alias("id"), F.col("text").alias("body")), pages.select(F.col("url").alias("law_id"), F.col("page_id").alias("page"), F.col("html").alias("text"), F.col("url").alias("source_hash")))
+
+
+@query("SELECT doc_id AS id, '' AS body, true AS summary_only, source FROM documents")
+def heads_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    letters = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), "source", F.array().alias("attachments"))
+    return reports.summary_heads(letters)
+
+
+@query("SELECT conv_id, role AS gap FROM conversations WHERE role <> 'user'")
+def unexplained_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts left over that are no heading of their conversation, white space apart."""
+    found = table(spark, sf, "conversations").select("conv_id", F.concat(F.lit(" "), "role").alias("gap"))
+    headings = found.select("conv_id", F.lit("us er").alias("heading")).distinct()
+    return evidence.unexplained_gaps(found, headings, "conv_id").select("conv_id", F.trim("gap").alias("gap"))
