@@ -39,7 +39,7 @@ SURE = 10.0
 #: Rows that count less than this are left out.
 LEAST_GAIN = 0.02
 #: Words whose logit a worker keeps before it starts anew.
-CACHED = 1_000_000
+CACHED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
