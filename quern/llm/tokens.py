@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 #: Pre-tokens whose ids a worker keeps, in two generations of half as many (about 120 bytes each).
 CACHED = 300_000
 #: UTF-8 bytes of the texts cut at once, besides the last of them.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 #: Letters of plain words: Basic Latin to Latin Extended-B. Signs: ASCII without the apostrophe.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIGNS = r"!-&(-/:-@\[-`{-~"
