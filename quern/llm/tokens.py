@@ -6,7 +6,8 @@ and the pieces encoded apart. Texts in which a space stands next to other white
 encoded whole. Arrow cuts a slice of texts into pieces and numbers the distinct ones; each
 of these is encoded, and the ids of all pieces are gathered by number. Pieces made of plain
 Latin words, ASCII digits and signs, and single line ends have known pre-tokens, which go
-straight to the library's BPE model; any other piece goes through the whole tokenizer.
+straight to the library's BPE model, some at once with a byte between them that is part of
+no merge; any other piece goes through the whole tokenizer.
 Tests hold all of this against encoding whole texts.
 
 The strings of special tokens in a text count as ordinary text (``encode_special_tokens``),
@@ -15,6 +16,7 @@ as the tokenizer files' own description asks, so that no text can hold an end id
 
 from __future__ import annotations
 
+import codecs
 import functools
 from array import array
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pre-tokens whose ids a worker keeps, in two generations of half as many (about 120 bytes each).
+#: Pre-tokens whose ids a worker keeps (about 40 bytes each); once there are more, half as many stay.
 CACHED = 300_000
 #: UTF-8 bytes of the texts cut at once, besides the last of them.
 SLICE_BYTES = 3 << 20
@@ -35,6 +37,8 @@ PLAIN = rf"^ ?[{LETTERS}0-9{SIGNS}]+(\n[{LETTERS}0-9{SIGNS}]+)*$"
 PART = rf" ?[{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\n"
 #: Stands between the pre-tokens of plain pieces, which can't hold it.
 MARK = "\x01"
+#: New pre-tokens that the model sees at once, with marks between them.
+TOGETHER = 32
 #: A space beside other white space as either side's rules have it, or at the end.
 UNSAFE = r"  | [\t\n\r\x0b\x0c\x1c-\x1f]| $|[\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -63,29 +67,54 @@ class Encoder:
         self.model._resize_cache(0)  # what comes here is new, as a rule
         self.size = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.size}")
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = "".join(byte_letters())
+        mark = self.letters[ord(MARK)]
+        alone = [t for t in self.tokenizer.get_vocab() if mark in t] == [mark]
+        self.mark = self.model.token_to_id(mark) if alone else None  # a token with the mark inside might come of a merge
         self.code = {2: "H", 4: "I"}[self.size]
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.uses = np.zeros(0, np.int32)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def part(self, part: str) -> bytes:
-        """Ids of a single pre-token."""
-        if (ids := self.kept.get(part)) is None:
-            if (ids := self.older.get(part)) is None:
-                seen = part.replace(" ", "Ġ").replace("\n", "Ċ") if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-                ids = array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
-            self.kept[part] = ids
-        return ids
+    def model_ids(self, parts: str) -> list[int]:
+        """Ids by the model, which sees the bytes of a pre-token, or of some with marks between them, as letters."""
+        return [t.id for t in self.model.tokenize(codecs.charmap_decode(parts.encode(), "strict", self.letters)[0])]
+
+    def part_ids(self, parts: pa.Array) -> pa.Array:
+        """Ids (large_binary) of each of some single pre-tokens."""
+        if self.mark is None:
+            return pa.array([array(self.code, self.model_ids(p)).tobytes() for p in strings(parts)], pa.large_binary())
+        flat, some = array(self.code), strings(parts)
+        for lo in range(0, len(some), TOGETHER):  # no merge goes over a mark, so each has the ids that it has alone
+            flat.extend(self.model_ids(MARK.join(some[lo : lo + TOGETHER]) + MARK))
+        ids = np.array(flat, self.dtype)
+        marks = np.flatnonzero(ids == self.mark)
+        edges = np.append(0, marks - np.arange(marks.size)) * self.size
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(edges), pa.py_buffer(np.delete(ids, marks))])
+
+    def looked_up(self, parts: pa.Array) -> pa.Array:
+        """Ids of each of some distinct single pre-tokens, kept for later ones: those used in most slices, and last, stay longest."""
+        at = pc.index_in(parts, self.kept)
+        new = parts.filter(at.is_null())
+        self.kept, self.ids = pa.concat_arrays([self.kept, new]), pa.concat_arrays([self.ids, self.part_ids(new)])
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.uses) + np.arange(len(new))
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int32))
+        self.uses[at] += 1
+        found = self.ids.take(pa.array(at))
+        if len(self.kept) > CACHED:
+            stay = pa.array(np.sort(np.argsort(self.uses, kind="stable")[len(self.uses) - CACHED // 2 :]))
+            self.kept, self.ids, self.uses = self.kept.take(stay), self.ids.take(stay), self.uses[stay] // 2
+        return found
 
     def piece_ids(self, pieces: pa.Array) -> pa.Array:
         """Ids (large_binary) of each of some distinct pieces, which begin with their space if they follow one."""
         plain = pc.match_substring_regex(pieces, PLAIN)
         lists = pc.split_pattern(pc.replace_substring_regex(pc.if_else(plain, pieces, NOTHING), PART, rf"\0{MARK}"), MARK)
         parts = lists.values.dictionary_encode()
-        _, offsets, data = pa.array(map(self.part, strings(parts.dictionary)), pa.large_binary()).take(parts.indices).buffers()
+        _, offsets, data = self.looked_up(parts.dictionary).take(parts.indices).buffers()
         edges = np.frombuffer(offsets, np.int64, len(parts) + 1)[lists.offsets.to_numpy()]
         known = pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(edges), data])
         other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
@@ -109,8 +138,6 @@ class Encoder:
             lo = hi
 
     def encoded(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        if 2 * len(self.kept) > CACHED:
-            self.older, self.kept = self.kept, {}
         unsafe = pc.match_substring_regex(texts, UNSAFE)
         lists = pc.split_pattern(pc.if_else(unsafe, NOTHING, texts), " ")
         numbered, edges = lists.values.dictionary_encode(), lists.offsets.to_numpy()

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quern.llm import packing, queries, token_files
+from quern.llm import packing, queries, token_files, tokens
 from quern.llm.tokens import Encoder
 from tests.llm.cases import ODD, clashing
 
@@ -32,6 +33,30 @@ def test_pieces_equal_whole_texts(text):
     assert got.tolist() == [*want, 7, *want] and edges.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
 
 
+def test_new_pre_tokens_go_to_the_model_together():
+    """Few calls for many new words, none for words that are kept."""
+    enc, calls = Encoder(PATH), []
+    model = enc.model
+    enc.model = SimpleNamespace(tokenize=lambda s: (calls.append(s), model.tokenize(s))[1])
+    text = " ".join(f"w{chr(97 + a)}{chr(97 + b)}é" for a in range(26) for b in range(26))
+    for _ in range(2):
+        assert next(enc.encode(pa.array([text])))[1].tolist() == ids(text)
+        assert len(calls) == -(-676 // tokens.TOGETHER)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+@pytest.mark.parametrize("kept", [1, 4, 1000])
+def test_ids_after_words_were_let_go(marked, kept, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", kept)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 32)
+    enc, r = Encoder(PATH), np.random.default_rng(5)
+    enc.mark = enc.mark if marked else None  # None: a vocabulary whose merges hold the mark
+    words = ["Straße", "the", "été\nx", "1,", "<|endoftext|>", "a\x01b", "ā", "中", "thereof", ""]
+    texts = [" ".join(r.choice(words, 6)) for _ in range(60)]
+    assert [x for _, flat, _ in enc.encode(pa.array(texts)) for x in flat.tolist()] == [x for t in texts for x in ids(t)]
+    assert len(enc.kept) == len(enc.ids) == len(enc.uses) <= kept
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1001])
 @pytest.mark.parametrize("top", [2, 300, 50_000, 1 << 20, 2**32 - 1])
 def test_codes_round_trip(n, top, monkeypatch):
@@ -102,6 +127,14 @@ def test_packing_query(spark, sf):
     assert sum(r.length for r in rows) == sum(map(len, want.values()))
 
 
+def test_frequencies_count_each_document_once():
+    docs = [np.random.default_rng(k).integers(0, 30, k).astype("<u2") for k in range(1, 150)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d[:k].tobytes() for d in docs], pa.binary()) for k in (9, 0)], names=["windows", "rest"])
+    (got,) = packing._frequencies(iter([batch]), dtype="<u2", vocabulary=40)
+    want = np.bincount(np.concatenate([np.unique(d[:9]) for d in docs]), minlength=40)
+    assert dict(zip(got["token"].to_pylist(), got["df"].to_pylist(), strict=True)) == {t: n for t, n in enumerate(want.tolist()) if n}
+
+
 def test_neighbours_are_lexical():
     """A seed's window takes texts of its own kind first."""
     r = np.random.default_rng(0)
