@@ -21,7 +21,7 @@ MARGINS, RULING_HANDICAP = (8.0, 4.0, 3.0), 0.18
 def known_edges(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """Distinct edges between two known, different nodes."""
     ids = nodes.select(F.col(node).alias("from"))
-    return edges.where(F.col("from") != F.col("to")).distinct().join(ids, "from", "left_semi").join(ids.withColumnRenamed("from", "to"), "to", "left_semi").select(*edges.columns)
+    return edges.where(F.col("from") != F.col("to")).join(ids.withColumnRenamed("from", "to"), "to", "left_semi").join(ids, "from", "left_semi").select(*edges.columns).distinct()
 
 
 def descendants(edges: DataFrame, roots: DataFrame, parent: str = "from", child: str = "to", root: str = "root") -> DataFrame:
